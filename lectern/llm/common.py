@@ -78,7 +78,7 @@ def text_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
 
 
 def byte_lists(batch: pa.RecordBatch, name: str = "_t") -> list[bytes]:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+    return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
 def pieces(items: list[bytes], most: int) -> Iterator[tuple[int, int]]:

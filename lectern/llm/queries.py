@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, fmindex, simhash
+from . import curriculum, fmindex, shards, simhash
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_mph_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.tokenised(table(spark, sf_dir, "documents"))
+
+
 def op8_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fmindex.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return rows.select(
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_simhash_pivots,
+        op5_mph_shards,
         op8_fm_decontaminate,
         op9_curriculum_mix,
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, fmindex, shards, simhash
+from . import curriculum, fmindex, quality, shards, simhash
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.get("positions", F.lit(0)).alias("first_position"))
 
 
+def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op8_fm_decontaminate": r"""
 with d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
@@ -75,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_mph_shards,
         op8_fm_decontaminate,
         op9_curriculum_mix,
+        op10_weak_label_quality,
     )
 }

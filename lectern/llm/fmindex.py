@@ -191,7 +191,7 @@ def occurrences(phrases: Phrases, docs: list[np.ndarray]) -> tuple[np.ndarray, n
     return doc, at - ends[doc], phrase
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+def spans(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, prefix: str = "", shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs' rows (the columns in keep, else all) with n_words, spans array<struct<start, stop>>, items array<string>.
 
     spans are the merged runs [start, stop) of words inside occurrences of test windows: 10 consecutive words
@@ -213,11 +213,11 @@ def spans(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
     out = docs
     for k, block in enumerate(blocks):
         phrases = Phrases([(r.item, r.text.encode()) for r in block.select("item", "text").collect()])
-        out = _pass(out, phrases, docs.columns if k + 1 < len(blocks) else keep or docs.columns, prefix, k == 0)
+        out = _pass(out, phrases, docs.columns if k + 1 < len(blocks) else keep or docs.columns, prefix, k == 0, shard_words)
     return out
 
 
-def _pass(rows: DataFrame, phrases: Phrases, kept: list[str], prefix: str, first: bool) -> DataFrame:
+def _pass(rows: DataFrame, phrases: Phrases, kept: list[str], prefix: str, first: bool, shard_words: int) -> DataFrame:
     """One pass over rows with one block of test items; later passes merge what earlier ones found."""
     sent = rows.sparkSession.sparkContext.broadcast(phrases)
     names = [prefix + x for x in ("n_words", "spans", "items")]
@@ -235,7 +235,7 @@ def _pass(rows: DataFrame, phrases: Phrases, kept: list[str], prefix: str, first
             size = 0
             for text in byte_lists(batch, "text"):
                 w = words(text or b"")
-                if shard and size + len(w) > SHARD_WORDS:
+                if shard and size + len(w) > shard_words:
                     _found(p, shard, found_spans, found_items)
                     shard, size = [], 0
                 shard.append(np.fromiter((number(x, 1) for x in w), np.int64, len(w)))

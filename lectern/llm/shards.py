@@ -16,6 +16,7 @@ their place set its bit, the others go on; a key's slot is the rank of its bit.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from .common import byte_lists, pieces, session, text_bytes, written
 END = 1
 #: Ids in a shard (a longer document is a shard of its own), and words whose ids a worker remembers.
 SHARD_IDS = 1 << 20
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 NULL_KEY = np.uint32(1 << 31)
 KEY = np.dtype([("id", "<i8"), ("nth", "<u4")])
 SLOT = np.dtype([("mark", "<u4"), ("offset", "<u8"), ("length", "<u8")])
@@ -117,27 +118,47 @@ def looked_up(index: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts. ASCII white space parts words for this kind of tokenizer, so ids are remembered by word."""
+    """Ids of texts. ASCII white space parts words for this kind of tokenizer, so ids are remembered by word.
 
-    def __init__(self, path: str) -> None:
+    A worker keeps its encoder from task to task. Words are remembered in two generations: when the newer is
+    full the older is dropped, and a word that is met again moves to the newer.
+    """
+
+    made: dict[str, Encoder] = {}
+
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
+        self.most = remembered // 2
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls.made:
+            cls.made[path] = cls(path)
+        return cls.made[path]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*split))
-        for x in range(0, len(new), 50_000):
-            some = new[x : x + 50_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, f"<u{self.width}").tobytes()
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        unseen, old, new = [], self.old, self.new
+        for word in set().union(*split).difference(new):
+            if (got := old.get(word)) is None:
+                unseen.append(word)
+            else:
+                new[word] = got
+        for x in range(0, len(unseen), 2000):
+            some = unseen[x : x + 2000]
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            for word, e in zip(some, encoded):
+                new[word] = np.array(e.ids, f"<u{self.width}").tobytes()
         end = END.to_bytes(self.width, "little")
-        get = self.known.__getitem__
+        get = new.__getitem__
         return [b"".join(map(get, words)) + end for words in split]
 
 
@@ -147,7 +168,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def shards(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The shard records of docs(doc_id, text, ...), each document's ids ending with id 1.
 
     Null or empty texts have the end id alone; a null doc_id comes first; rows that repeat a doc_id are
@@ -160,7 +181,7 @@ def shards(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_t").withColumn("_part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = Encoder.of(path)
         held: list[bytes] = []
         ids: list[int | None] = []
         seq = size = part = 0
@@ -185,9 +206,9 @@ def shards(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in batches:
             texts, names = byte_lists(batch), batch.column(0).to_pylist()
             part = batch.column(batch.schema.get_field_index("_part"))[0].as_py() if names else part
-            for x, y in pieces(texts, 4 << 20):
+            for x, y in pieces(texts, 1 << 20):
                 for name, got in zip(names[x:y], encode(texts[x:y])):
-                    if held and size + len(got) // encode.width > SHARD_IDS:
+                    if held and size + len(got) // encode.width > shard_ids:
                         yield record()
                     held.append(got)
                     ids.append(name)

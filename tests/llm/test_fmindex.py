@@ -39,13 +39,12 @@ def plain(text, items):
 @pytest.mark.parametrize("block", [4 << 20, 100])
 def test_rows_match_plain_search(spark, monkeypatch, block):
     monkeypatch.setattr(fmindex, "BLOCK_BYTES", block)
-    monkeypatch.setattr(fmindex, "SHARD_WORDS", 50)
     rng = np.random.default_rng(3)
     text = lambda n: " ".join(rng.choice(list("abc") + ["é1", "Zz"], n))
     items = [(1, text(14)), (2, text(12)), (10, "a b"), (None, text(11)), (5, None), (6, "--"), (7, text(10)), (7, text(10))]
     rows = [(k, text(rng.integers(0, 80))) for k in range(30)] + [(None, "A, b! " * 40), (3, None), (3, ""), (4, items[0][1].upper()), (4, items[0][1].upper())]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, items string")
-    got = fmindex.spans(docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id", "text"], "z_").collect()
+    got = fmindex.spans(docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id", "text"], "z_", 50).collect()
     assert len(got) == len(rows)
     for r in got:
         n, hit, names = plain(r.text, items)

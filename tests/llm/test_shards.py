@@ -34,9 +34,16 @@ def test_perfect_hash(n):
     assert (shards.looked_up(data, other)[0] >= 0).sum() <= 1
 
 
-def test_query_matches_tokenizer(spark, monkeypatch):
-    monkeypatch.setattr(shards, "REMEMBERED", 2000)
-    monkeypatch.setattr(shards, "SHARD_IDS", 20_000)
+def test_encoder_forgets():
+    encode = shards.Encoder(shards.default_vocabulary(), 20)
+    texts = [f"word{k % 13} other{k} the" for k in range(200)]
+    for k in range(0, 200, 10):
+        got = encode([t.encode() for t in texts[k : k + 10]])
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [ids_of(t) for t in texts[k : k + 10]]
+    assert len(encode.new) + len(encode.old) < 100
+
+
+def test_query_matches_tokenizer(spark):
     got = QUERIES["op5_mph_shards"](spark, SF).toPandas().sort_values("doc_id")
     docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
     want = [ids_of(t) for t in docs.text]
@@ -50,7 +57,8 @@ def test_odd_rows_and_fetch(spark):
     texts = ["It's <|endoftext|>a TEST of white\x0bspace é ́x ΑΣ Σ İ", None, "", "x" * 50_000, "don't we'll 12,345", "same", "same", "<|endof text|> <|startoftext|>"]
     rows = list(zip([4, 2, 3, None, 4, 9, 9, None], texts))
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, keys string")
-    records = shards.written(shards.shards(docs)).cache()
+    records = shards.written(shards.shards(docs, shard_ids=200)).cache()
+    assert records.count() > 2
     got = shards.read_back(records).toPandas().sort_values("start")
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
     want = [ids_of(t) for _, t in order]

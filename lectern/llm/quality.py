@@ -98,6 +98,7 @@ LABELLERS = {
         "many": lambda s: 1 if s["abuse"] >= 2 else -1,
         "share": lambda s: 1 if s["abuse_share"] >= 2 else -1,
         "kinds": lambda s: 1 if s["abuse_kinds"] >= 2 else -1,
+        "plain": lambda s: 0 if s["abuse"] == 0 and s["mined"] <= 1 else -1,
         "mined": lambda s: -1 if s["mined"] in (-1, 2) else int(s["mined"] > 2),
     },
 }

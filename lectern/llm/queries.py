@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, fmindex, quality, shards, simhash
+from . import curriculum, fmindex, quality, shards, simhash, template, trie, urls
 from .common import table
 
 
+def op2_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.counted(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -20,6 +28,10 @@ def op5_mph_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.tokenised(table(spark, sf_dir, "documents"))
 
 
+def op7_redirect_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
+
+
 def op8_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fmindex.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return rows.select(
@@ -42,6 +54,21 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_redirect_filters": r"""
+with recursive p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+u as (select *, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+ regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path, case when contains(url, '://') then regexp_replace(url, '(?s)#.*', '') else '' end as node from p),
+links as (select distinct node as a, regexp_replace(t, '(?s)#.*', '') as b from (select node, unnest(regexp_extract_all(html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1)) as t from u) where contains(t, '://')),
+edges as (select a, b from links union select b, a from links),
+reach as (select a as x, a as y from edges union select r.x, e.b from reach r join edges e on r.y = e.a),
+nodes as (select node from u union select b from links),
+parts as (select node, translate(regexp_extract(node, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(node, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from nodes),
+rules(rh, rp, rv) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+fit as (select node, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(rv, length(rh || rp)) as rv from parts, rules where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by node),
+said as (select r.x as node, bool_or(f.rv = 'allow') as allowed from reach r join fit f on r.y = f.node group by r.x)
+select u.page_id, u.host, u.path, fit.rule, coalesce(fit.rv, case when said.allowed then 'allow' when not said.allowed then 'block' else 'allow' end) as verdict
+from u left join fit on u.node = fit.node left join said on u.node = said.node
+""",
     "op8_fm_decontaminate": r"""
 with d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
 b as (select distinct coalesce(cast(item_id as varchar), 'null') as item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
@@ -75,8 +102,11 @@ select doc_id, size, source_size, target, cast(size * copies as bigint) as taken
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_template_extract,
+        op3_trie_token_counts,
         op4_simhash_pivots,
         op5_mph_shards,
+        op7_redirect_filters,
         op8_fm_decontaminate,
         op9_curriculum_mix,
         op10_weak_label_quality,

@@ -17,6 +17,7 @@ their place set its bit, the others go on; a key's slot is the rank of its bit.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,9 @@ from .common import byte_lists, pieces, session, text_bytes, written
 END = 1
 #: Ids in a shard (a longer document is a shard of its own), and words whose ids a worker remembers.
 SHARD_IDS = 1 << 20
-REMEMBERED = 700_000
+REMEMBERED = 900_000
+#: Letters, the last one ASCII, and ASCII punctuation without the apostrophe.
+ENDING = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([!-&(-/:-@\[-`{-~]+)")
 NULL_KEY = np.uint32(1 << 31)
 KEY = np.dtype([("id", "<i8"), ("nth", "<u4")])
 SLOT = np.dtype([("mark", "<u4"), ("offset", "<u8"), ("length", "<u8")])
@@ -121,7 +124,9 @@ class Encoder:
     """Ids of texts. ASCII white space parts words for this kind of tokenizer, so ids are remembered by word.
 
     A worker keeps its encoder from task to task. Words are remembered in two generations: when the newer is
-    full the older is dropped, and a word that is met again moves to the newer.
+    full the older is dropped, and a word that is met again moves to the newer. Where the tokenizer splits
+    letters from ASCII punctuation and takes no note of the case of A-Z (it is asked), a word that ends in
+    punctuation is put together from its parts, and plain letters go to the tokenizer's model directly.
     """
 
     made: dict[str, Encoder] = {}
@@ -135,6 +140,7 @@ class Encoder:
         self.most = remembered // 2
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.splits = self._splits()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -142,21 +148,62 @@ class Encoder:
             cls.made[path] = cls(path)
         return cls.made[path]
 
+    def _splits(self) -> bool:
+        """Whether letters may be encoded without their case and apart from the punctuation after them."""
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        probes = [("Theword", ",."), ("EX", "###"), ("caf\u00e9s", "!!"), ("a", "&&&"), ("Zq", ")]|")]
+        return all(ids(a + b) == ids(a.lower()) + ids(b) == [*self.model(a.lower()), *ids(b)] if a.isascii() else ids(a + b) == ids(a) + ids(b) for a, b in probes)
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def model(self, letters: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(letters)]
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """The letters and the punctuation of a word that is no more than these, else the word."""
+        if not self.splits:
+            return word, b""
+        if word.isalpha():  # ASCII letters only
+            return word.lower(), b""
+        m = ENDING.fullmatch(word)
+        return (m[1].lower(), m[2]) if m else (word, b"")
+
+    def encode(self, unseen: set[bytes]) -> None:
+        """Remembers the ids of some parts of words."""
+        rest = []
+        for x in unseen:
+            if self.splits and x.isalpha():
+                self.new[x] = self.pack(self.model(x.decode()))
+            else:
+                rest.append(x)
+        for k in range(0, len(rest), 2000):
+            some = rest[k : k + 2000]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                self.new[x] = self.pack(e.ids)
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        unseen, old, new = [], self.old, self.new
+        old, new = self.old, self.new
+        whole: dict[bytes, tuple[bytes, bytes]] = {}
+        unseen: set[bytes] = set()
         for word in set().union(*split).difference(new):
-            if (got := old.get(word)) is None:
-                unseen.append(word)
-            else:
+            if (got := old.get(word)) is not None:
                 new[word] = got
-        for x in range(0, len(unseen), 2000):
-            some = unseen[x : x + 2000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            for word, e in zip(some, encoded):
-                new[word] = np.array(e.ids, f"<u{self.width}").tobytes()
+                continue
+            a, b = self.parts(word)
+            if b or a != word:
+                whole[word] = a, b
+                if b and b not in new:
+                    unseen.add(b)
+                if a in new:
+                    continue
+            unseen.add(a)
+        self.encode(unseen)
+        for word, (a, b) in whole.items():
+            new[word] = new[a] + new[b] if b else new[a]
         end = END.to_bytes(self.width, "little")
         get = new.__getitem__
         return [b"".join(map(get, words)) + end for words in split]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, fmindex, quality, shards, simhash, template, trie, urls
+from . import curriculum, fmindex, katz, quality, shards, simhash, template, trie, urls
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_mph_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.tokenised(table(spark, sf_dir, "documents"))
 
 
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_redirect_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_trie_token_counts,
         op4_simhash_pivots,
         op5_mph_shards,
+        op6_katz_scores,
         op7_redirect_filters,
         op8_fm_decontaminate,
         op9_curriculum_mix,

@@ -34,9 +34,12 @@ from .common import byte_lists, pieces, session, text_bytes, written
 END = 1
 #: Ids in a shard (a longer document is a shard of its own), and words whose ids a worker remembers.
 SHARD_IDS = 1 << 20
-REMEMBERED = 900_000
-#: Letters, the last one ASCII, and ASCII punctuation without the apostrophe.
-ENDING = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([!-&(-/:-@\[-`{-~]+)")
+REMEMBERED = 1_400_000
+#: Letters (checked further if not ASCII), and ASCII punctuation without the apostrophe.
+ENDING = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level tokenizers write a byte as a character: itself if it is printable, else the next one from 256 on.
+BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 NULL_KEY = np.uint32(1 << 31)
 KEY = np.dtype([("id", "<i8"), ("nth", "<u4")])
 SLOT = np.dtype([("mark", "<u4"), ("offset", "<u8"), ("length", "<u8")])
@@ -120,12 +123,17 @@ def looked_up(index: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return offset, length
 
 
+def latin(text: str) -> bool:
+    """Whether a text is Latin letters, each composed."""
+    return text.isalpha() and max(text) < "\u0250"
+
+
 class Encoder:
     """Ids of texts. ASCII white space parts words for this kind of tokenizer, so ids are remembered by word.
 
     A worker keeps its encoder from task to task. Words are remembered in two generations: when the newer is
     full the older is dropped, and a word that is met again moves to the newer. Where the tokenizer splits
-    letters from ASCII punctuation and takes no note of the case of A-Z (it is asked), a word that ends in
+    letters from ASCII punctuation and takes no note of their case (it is asked), a word that ends in
     punctuation is put together from its parts, and plain letters go to the tokenizer's model directly.
     """
 
@@ -151,30 +159,34 @@ class Encoder:
     def _splits(self) -> bool:
         """Whether letters may be encoded without their case and apart from the punctuation after them."""
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        probes = [("Theword", ",."), ("EX", "###"), ("caf\u00e9s", "!!"), ("a", "&&&"), ("Zq", ")]|")]
-        return all(ids(a + b) == ids(a.lower()) + ids(b) == [*self.model(a.lower()), *ids(b)] if a.isascii() else ids(a + b) == ids(a) + ids(b) for a, b in probes)
+        probes = [("Theword", ",."), ("EX", "###"), ("Caf\u00e9s", "!!"), ("\u00c0\u00dfn", "&&&"), ("Zq", ")]|"), ("x\u00e9", "")]
+        return all(ids(a + b) == ids(a.lower()) + ids(b) == self.model(a.lower().encode()) + ids(b) for a, b in probes)
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def model(self, letters: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(letters)]
+    def model(self, letters: bytes) -> list[int]:
+        text = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(BYTE_CHARS)
+        return [t.id for t in self.tokenizer.model.tokenize(text)]
 
     def parts(self, word: bytes) -> tuple[bytes, bytes]:
         """The letters and the punctuation of a word that is no more than these, else the word."""
         if not self.splits:
             return word, b""
-        if word.isalpha():  # ASCII letters only
-            return word.lower(), b""
         m = ENDING.fullmatch(word)
-        return (m[1].lower(), m[2]) if m else (word, b"")
+        if not m:
+            return word, b""
+        if m[1].isascii():
+            return m[1].lower(), m[2]
+        letters = m[1].decode().lower()
+        return (letters.encode(), m[2]) if latin(letters) else (word, b"")
 
     def encode(self, unseen: set[bytes]) -> None:
         """Remembers the ids of some parts of words."""
         rest = []
         for x in unseen:
-            if self.splits and x.isalpha():
-                self.new[x] = self.pack(self.model(x.decode()))
+            if self.splits and (x.isalpha() or not x.isascii() and latin(own := x.decode()) and own == own.lower()):
+                self.new[x] = self.pack(self.model(x))
             else:
                 rest.append(x)
         for k in range(0, len(rest), 2000):

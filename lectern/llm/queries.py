@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, fmindex, katz, quality, shards, simhash, template, trie, urls
+from . import curriculum, fmindex, katz, lcp, quality, shards, simhash, template, trie, urls
 from .common import table
 
 
+def op1_lcp_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.compared(table(spark, sf_dir, "documents"))
+
+
 def op2_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -106,6 +110,7 @@ select doc_id, size, source_size, target, cast(size * copies as bigint) as taken
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_lcp_fingerprints,
         op2_template_extract,
         op3_trie_token_counts,
         op4_simhash_pivots,

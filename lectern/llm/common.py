@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -63,12 +64,18 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut and any executor can read it again."""
+def written(df: DataFrame, release: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage is cut and any executor can read it again.
+
+    release: also lets Spark drop the shuffle files that made it, which it does once the driver collects garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

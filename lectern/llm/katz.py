@@ -16,7 +16,8 @@ compressed columns and pre-aggregated by chunk:
    The merged tables of the ranges are the model; they are written before anything is scored.
 3. Ranges answer with counts and backoff weights; each chunk evaluates its tokens, recursively.
 
-A word's rows in a range are at most one a chunk, so frequent words make no skew.
+A word's rows in a range are at most one a chunk, so frequent words make no skew. Words are 64-bit hashes as
+contexts and 48-bit ones as a context's successors.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ ROW = "chunk long, kind int, p int, docs array<long>, b0 binary, b1 binary, b2 b
 
 
 def pack(a: np.ndarray) -> bytes:
-    """An array's bytes, plane by plane, compressed."""
+    """An array's bytes, plane by plane, compressed; planes of zeros take no room."""
     a = np.ascontiguousarray(a)
     return a.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(a.size, a.itemsize).T.tobytes())
 
@@ -172,7 +173,7 @@ class Bigrams:
         key, self.inverse = np.unique(before * n + chunk.stream, return_inverse=True)
         h, w = key // n, key % n
         count = np.bincount(self.inverse, chunk.weights, key.size).astype(np.uint32)
-        hh, wh = chunk.hashes[h], chunk.hashes[w] >> np.uint64(8)
+        hh, wh = chunk.hashes[h], chunk.hashes[w] >> np.uint64(16)
         split = np.where(c1[h] > hot, wh % np.maximum(1, -(-c1[h] // hot)).astype(np.uint64), 0).astype(np.uint64)
         part = (mixed(hh + split) >> np.uint64(20)) % np.uint64(n_ranges)
         self.order = np.lexsort((wh, hh, part))
@@ -206,7 +207,7 @@ def _sum_words(t: pa.Table) -> pa.Table:
 
 
 #: One row a range: statistics, the model's table (contexts, their counts and numbers of seen successors; successors,
-#: their counts and unigram counts), and what each chunk asked.
+#: as 32-bit marks, their counts and unigram counts), and what each chunk asked.
 MODEL = "p int, stats array<long>, t_h binary, t_c1 binary, t_n binary, t_w binary, t_c binary, t_cw binary, chunks array<long>, counts array<binary>, places array<binary>"
 
 
@@ -237,7 +238,7 @@ def _sum_bigrams(t: pa.Table) -> pa.Table:
         "t_h": pack(contexts),
         "t_c1": pack(c1),
         "t_n": pack(n),
-        "t_w": pack(ws[keep]),
+        "t_w": pack((ws[keep] >> np.uint64(16)).astype(np.uint32)),
         "t_c": pack(total[seen]),
         "t_cw": pack(cw[order][keep]),
         "chunks": [r["chunk"] for r in rows],
@@ -299,7 +300,7 @@ def scores(docs: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 yield pa.RecordBatch.from_pylist(list(Chunk(r, word_ranges).word_requests()), SCHEMA)
 
-    words = written(read.mapInArrow(ask_words, ROW).groupBy("p").applyInArrow(_sum_words, ROW))
+    words = written(read.mapInArrow(ask_words, ROW).groupBy("p").applyInArrow(_sum_words, ROW), release=True)
     sums = {r.pos: r.s for r in words.where("chunk = -1").select(F.posexplode("docs")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
     total, kinds = sums.get(0, 0), sums.get(1, 0)
     uni = Unigrams(total, kinds, np.array([0, *(sums.get(k + 1, 0) for k in range(1, K + 2))], float))
@@ -312,7 +313,7 @@ def scores(docs: DataFrame) -> DataFrame:
         c1 = chunk.counted([r for r in rows if r["kind"] == 1])
         return pa.Table.from_pylist(list(chunk.bigrams(c1, ranges, hot).requests(chunk.id)), SCHEMA)
 
-    model = written(read.unionByName(answers).groupBy("chunk").applyInArrow(ask_bigrams, ROW).groupBy("p").applyInArrow(_sum_bigrams, MODEL))
+    model = written(read.unionByName(answers).groupBy("chunk").applyInArrow(ask_bigrams, ROW).groupBy("p").applyInArrow(_sum_bigrams, MODEL), release=True)
     sums = {r.pos: r.s for r in model.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
     d2 = discounts(np.array([0, *(sums.get(k, 0) for k in range(K + 1))], float))
 

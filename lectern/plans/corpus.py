@@ -22,7 +22,7 @@ CITATIONS = {
 }
 #: Files: two of each order's part lines stand for versions of a citation's files.
 MANIFESTATIONS = {
-    "id": "l_orderkey * 1000000 + l_partkey * 8 + l_linenumber",
+    "id": "(l_orderkey * 1000000 + l_partkey * 8 + l_linenumber) * 100 + cast(l_quantity as int)",
     "citation_id": "l_orderkey % 500",
     "kind": "case when l_linenumber % 2 = 0 then 'pdf' else 'markdown-extracted' end",
     "path": "'/files/' || cast(l_partkey as string) || '.' || cast(l_linenumber as string)",

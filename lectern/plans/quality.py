@@ -1 +1,131 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Scoring and repairing Markdown; the documents stand for it, with headings and tables made from their lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as Q
+from ..operators import repair as R
+from ..operators import vectors as V
+from .corpus import read
+from .registry import registry
+
+QUERIES, ORACLE_SQL, query = registry()
+
+#: Lines of a document become headings of level 1 to 4 by place and length, table rows if they have bars.
+_MD = "replace(replace(text, chr(10), chr(10) || '## '), '. The ', chr(10) || '#### The ')"
+_TABLES = "replace(text, chr(10), chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | ')"
+
+
+def _docs(spark, d, markdown: str = "text", layout: str = "cast(null as string)"):
+    return read(spark, d, "documents").selectExpr("doc_id", f"{markdown} as markdown", f"{layout} as layout")
+
+
+@query(
+    """with l as (select doc_id, string_split_regex(text, '\\r?\\n') as ls, text from documents)
+select doc_id, round(greatest(0.0, least(1.0, 1 - 0.15 * len(list_filter(ls, lambda x: length(x) > 250 and len(regexp_extract_all(x, '\\d+(?:\\.\\d+)?')) >= 12 and not regexp_matches(x, '^\\s*\\|'))) - 0.05 * len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')) - 0.05)), 3) as score from l"""
+)
+def artifact_scores(spark, d):
+    rows = read(spark, d, "documents")
+    return rows.select("doc_id", F.round(Q.artifact_score(Q.lines_of(F.col("text")), F.col("text")), 3).alias("score"))
+
+
+@query(
+    f"""with h as (select doc_id, list_transform(list_filter(string_split_regex({_MD}, '\\r?\\n'), lambda x: regexp_matches(x, '^#{{1,6}}\\s+\\S')), lambda x: {{'l': length(regexp_extract(x, '^#+')), 't': trim(regexp_replace(x, '^#{{1,6}}\\s+', ''))}}) as h from documents)
+select doc_id, len(h) as n_headings, round(greatest(0.0, least(1.0, 1 - 0.12 * len(list_filter(range(2, len(h) + 1), lambda i: h[i].l - h[i - 1].l > 1)) - least(0.2, 0.04 * len(list_filter(h, lambda x: not regexp_matches(x.t, '(?i)[a-z]{{3,}}')))))), 3) as score from h"""
+)
+def heading_flows(spark, d):
+    rows = _docs(spark, d, _MD).select("doc_id", Q.headings(Q.lines_of(F.col("markdown"))).alias("h"))
+    return rows.select("doc_id", F.size("h").alias("n_headings"), F.round(Q.heading_flow(F.col("h")), 3).alias("score"))
+
+
+@query(
+    """with l as (select doc_id, unnest(string_split_regex(text, '\\r?\\n')) as x from documents), t as (select doc_id, trim(x) as t, len(regexp_extract_all(trim(x), '\\d+(?:\\.\\d+)?')) as n from l),
+p as (select doc_id, sum(case when t = '' or regexp_matches(t, '^\\s*\\|.*\\|\\s*$') then 0 else case when length(t) > 260 then 0.15 when length(t) > 180 and n >= 8 then 0.08 else 0 end + case when regexp_matches(t, '(?i)\\b(?:Table|Tab\\.?|Figure|Fig\\.?|Chart)\\s+\\d+[:.]') and length(t) > 180 then 0.15 else 0 end end) as p from t group by doc_id)
+select doc_id, round(greatest(0.0, least(1.0, 1 - p)), 2) as score from p"""
+)
+def readability_scores(spark, d):
+    lines = Q.lines_of(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.round(Q.readability(lines, Q.reference_lines(lines)), 2).alias("score"))
+
+
+@query(
+    f"""with l as (select doc_id, {_TABLES} as text, len(regexp_extract_all(text, '\\n')) as n from documents), r as (select doc_id, n, list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '| 1 | ')) as rows from l)
+select doc_id, n as n_tables, len(list_filter(rows, lambda x: ends_with(trim(x), '|') and len(regexp_extract_all(trim(x), '\\|')) = 3 or not ends_with(trim(x), '|'))) as n_valid from r"""
+)
+def markdown_tables(spark, d):
+    rows = _docs(spark, d, _TABLES).select("doc_id", Q.tables(Q.lines_of(F.col("markdown"))).alias("t"))
+    return rows.select("doc_id", F.col("t.n").alias("n_tables"), F.col("t.valid").alias("n_valid"))
+
+
+@query("select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?')) as n_words from documents")
+def word_counts(spark, d):
+    return read(spark, d, "documents").select("doc_id", Q.word_count(F.col("text")).alias("n_words"))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 0 when doc_id % 3 = 1 then 3 else 2 end as n_refs from documents")
+def reference_counts(spark, d):
+    bracketed = "'## References' || chr(10) || '[1] A' || chr(10) || '[2] B [1]' || chr(10) || '[3] C' || chr(10) || '# After' || chr(10) || '[9] no'"
+    numbered = "'References' || chr(10) || '1. A' || chr(10) || ' 2. B' || chr(10) || 'text'"
+    rows = _docs(spark, d, f"case when doc_id % 3 = 0 then 'none [1]' when doc_id % 3 = 1 then {bracketed} else {numbered} end")
+    return rows.select("doc_id", Q.reference_count(Q.reference_lines(Q.lines_of(F.col("markdown")))).alias("n_refs"))
+
+
+@query()
+def quality_scores(spark, d):
+    """All measures, the document against itself as the layout."""
+    return Q.scored(_docs(spark, d, f"case when doc_id % 10 = 0 then '' else {_MD} end", "case when doc_id % 7 = 0 then null else text end"))
+
+
+@query()
+def quality_summary(spark, d):
+    return Q.summary(quality_scores(spark, d))
+
+
+@query(
+    """with t as (select doc_id, list_transform(string_split(text, chr(10)), lambda l: list_filter(string_split_regex(trim(l), '\\s+'), lambda w: length(w) >= 2)) as ls, string_split(text, chr(10)) as raw from documents),
+b as (select doc_id, raw, list_transform(ls, lambda ws: {'n': len(ws), 'b': len(list_filter(ws, lambda w: not regexp_matches(w, '[a-z]') and regexp_matches(w, '[A-Z]') and (regexp_matches(w, '[$%''/*+&^]') or length(w) >= 5 and regexp_matches(w, '[0-9]'))))}) as k from t)
+select doc_id, array_to_string(list_filter(raw, lambda x, i: not (k[i].n >= 3 and k[i].b >= 3 and k[i].b * 2 >= k[i].n)), chr(10)) as markdown from b where not exists (select 1 from documents q where q.doc_id = b.doc_id and (contains(q.text, '```') or contains(q.text, '~~~') or contains(q.text, '$$')))"""
+)
+def garble_removed(spark, d):
+    rows = read(spark, d, "documents").where("not (contains(text, '```') or contains(text, '~~~') or contains(text, '$$'))")
+    return rows.select("doc_id", R.glyph_garble(F.col("text")).alias("markdown"))
+
+
+_LAYOUT = "'Journal of Things ' || cast(doc_id as string) || chr(10) || 'body one' || chr(12) || '12 Journal of Things ' || cast(doc_id as string) || chr(10) || 'b' || chr(12) || 'Journal of  Things 14'"
+
+
+@query("select doc_id, 'Journal of Things' as header from documents where doc_id < 10000")
+def running_headers(spark, d):
+    return R.running_headers(_docs(spark, d, "text", _LAYOUT))
+
+
+@query("select doc_id, replace(text, '. ', chr(10)) as markdown from documents")
+def headers_removed(spark, d):
+    rows = _docs(spark, d, "'3 Journal of Things' || chr(10) || replace(text, '. ', chr(10))", _LAYOUT)
+    return R.without_headers(rows.select("doc_id", "markdown"), R.running_headers(rows))
+
+
+@query("select doc_id, regexp_replace(replace(text, '. ', chr(10) || chr(10) || ' ' || chr(10) || 'X'), '\\n[ \\t]*\\n([ \\t]*\\n)+', chr(10) || chr(10), 'g') as markdown from documents where not regexp_matches(text, '\\n\\s*\\n')")
+def blank_lines_compacted(spark, d):
+    rows = read(spark, d, "documents").where("not text rlike '\\\\n\\\\s*\\\\n'")
+    return rows.select("doc_id", R.blank_runs(F.expr("replace(text, '. ', chr(10) || chr(10) || ' ' || chr(10) || 'X')")).alias("markdown"))
+
+
+@query("with q as (select embedding as q from embeddings where vec_id = 0) select vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) as similarity from embeddings, q")
+def cosine_similarities(spark, d):
+    rows = read(spark, d, "embeddings")
+    q = rows.where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
+    return rows.join(F.broadcast(q)).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+
+
+@query(
+    """with r as (select 'a' as ranking, vec_id as id, cast(vec_id * 7919 % 1009 as double) as score from embeddings union all select 'b', vec_id, cast(vec_id * 104729 % 997 as double) from embeddings),
+p as (select id, row_number() over (partition by ranking order by score desc, id) as p from r) select id, round(sum(1.0 / (60 + p)), 9) as score from p group by id"""
+)
+def fused_rankings(spark, d):
+    e = read(spark, d, "embeddings")
+    one = lambda name, k, m: e.select(F.lit(name).alias("ranking"), F.col("vec_id").alias("id"), (F.col("vec_id") * k % m).cast("double").alias("score"))
+    return V.fused(one("a", 7919, 1009).unionByName(one("b", 104729, 997))).select("id", F.round("score", 9).alias("score"))
+
+

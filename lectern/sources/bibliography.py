@@ -37,7 +37,7 @@ def _value(text: str, at: int) -> tuple[str, int]:
             out.append(text[start:at])
             at += 1
         else:
-            m = re.compile(r"[^\s,#}]+").match(text, at)
+            m = re.compile(r"[^\s,#})]+").match(text, at)
             if not m:
                 break
             out.append(m[0])

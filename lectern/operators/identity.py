@@ -41,9 +41,11 @@ def evidence(entries: DataFrame, files: DataFrame) -> DataFrame:
     piece = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda k: F.substring(c, k, F.lit(n))))
     by_doi = e.where("doi <> ''").select("entry_id", F.explode(F.slice(piece(F.lower("doi"), 8), 1, 1)).alias("g"))
     of_raw = t.where(F.contains("raw", F.lit("10."))).select("file_id", F.explode(piece(F.col("raw"), 8)).alias("g"))
-    words = e.select("entry_id", F.explode(F.array_distinct(significant_words(F.col("title")))).alias("w")).select("entry_id", F.substring("w", 1, 4).alias("g"))
+    # A title without significant words is looked for by all its words; those inside it stand whole in a text.
+    offered = F.when(F.size(significant_words(F.col("title"))) > 0, significant_words(F.col("title"))).otherwise(F.split(title(F.col("title")), " "))
+    words = e.select("entry_id", F.explode(F.array_distinct(offered)).alias("w")).where("w <> ''").select("entry_id", F.substring("w", 1, 4).alias("g"))
     of_body = t.select("file_id", F.explode(F.array_distinct(F.split("body", " "))).alias("w")).select("file_id", F.explode(piece(F.col("w"), 4)).alias("g")).distinct()
-    least = e.select("entry_id", F.greatest(F.ceil(F.size(F.array_distinct(significant_words(F.col("title")))) * 0.35), F.lit(1)).alias("least"))
+    least = e.select("entry_id", F.greatest(F.ceil(F.size(F.array_distinct(F.transform(significant_words(F.col("title")), lambda w: F.substring(w, 1, 4)))) * 0.3), F.lit(1)).alias("least"))
     wanted = words.select("g").distinct()
     shared = of_body.join(wanted, "g", "left_semi").join(words.distinct(), "g").groupBy("entry_id", "file_id").agg(F.count(F.lit(1)).alias("n"))
     pairs = of_raw.join(by_doi, "g").select("entry_id", "file_id").unionByName(shared.join(least, "entry_id").where("n >= least").select("entry_id", "file_id")).distinct()

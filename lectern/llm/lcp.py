@@ -107,8 +107,9 @@ def phrase_names(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             made[more] = _mixed(made[more] * np.uint64(0x100000001B3) + names[at[more] + k])
         names, owner = made, owner[at]
         yield owner, names
-        if (np.diff(np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))) == 1).all():
-            return
+        # A document that has become one phrase is done, whatever the others are.
+        more = np.bincount(owner, minlength=len(texts))[owner] > 1
+        names, owner = names[more], owner[more]
 
 
 def sketches(texts: list[str]) -> np.ndarray:

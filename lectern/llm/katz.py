@@ -266,7 +266,7 @@ def _context_sums(r: dict, uni: Unigrams, d2: np.ndarray) -> tuple[np.ndarray, n
     h, c1, n, c, cw = (unpack(r[k]) for k in ("t_h", "t_c1", "t_n", "t_c", "t_cw"))
     place = np.repeat(np.arange(h.size), n)
     own = np.bincount(place, discounted(d2, c), h.size) / np.maximum(1, c1)
-    return h, c1, own, np.bincount(place, uni(cw), h.size)
+    return h, c1, own.astype(float), np.bincount(place, uni(cw), h.size).astype(float)
 
 
 def _backoff(c1: np.ndarray, own: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +322,7 @@ def scores(docs: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 h, c1, own, lower = _context_sums(r, uni, d2)
                 x = c1 > hot
-                yield pa.RecordBatch.from_arrays([pa.array(h[x].view(np.int64)), pa.array(c1[x]), pa.array(own[x]), pa.array(lower[x])], names=["h", "c1", "own", "lower"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[x].view(np.int64), pa.int64()), pa.array(c1[x].astype(np.int64)), pa.array(own[x].astype(float)), pa.array(lower[x].astype(float))], names=["h", "c1", "own", "lower"])
 
     table = ["t_h", "t_c1", "t_n", "t_c", "t_cw"]
     # Contexts over the bound are fewer than MOST_HOT, as their counts add up to the tokens at most.

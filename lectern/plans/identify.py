@@ -101,33 +101,22 @@ def title_words(spark, d):
     return read(spark, d, "citations").select("id", T.title(F.col("title")).alias("title"), T.significant_words(F.col("title")).alias("words"))
 
 
-_ENTRIES = "id as entry_id, case when id % 9 = 0 then null else doi end as doi, title, year, authors, bibtex_key"
-_FILES = "doc_id as file_id, case when doc_id % 2 = 0 then source || cast(doc_id as string) || '.pdf' else 'x.pdf' end as name, case when doc_id % 5 = 0 then 'doi 10.' || cast(1000 + doc_id % 7 as string) || '/' || source || '.' || cast(doc_id as string) || '; ' else '' end || case when doc_id % 3 = 0 then cast(1990 + doc_id % 30 as string) || ' ' || text else text end as text"
+#: The benchmark's items as entries of a bibliography, the documents as files.
+_ENTRIES = ["item_id as entry_id", "case when item_id % 9 = 0 then null else '10.' || cast(1000 + item_id % 7 as string) || '/item.' || cast(item_id as string) end as doi", "substring(text, 1, 60) as title", "cast(1990 + item_id % 30 as int) as year", "'A. Smith and B. Lee' as authors", "'k' || cast(item_id as string) as bibtex_key"]
+_FILES = [
+    "doc_id as file_id",
+    "'k' || cast(doc_id * 3 as string) || '.pdf' as name",
+    "case when doc_id % 5 = 0 then 'doi 10.' || cast(1000 + doc_id % 7 as string) || '/item.' || cast(doc_id as string) || '; ' else '' end || case when doc_id % 3 = 0 then text || ' by Smith' when doc_id % 3 = 1 then '1999 2003 2010 ' || text else text end as text",
+]
 
 
 @query(
-    f"""with {ctes('citations')}, e as (select id as entry_id, {_TITLE.format('title')} as t, case when id % 9 = 0 then '' else lower(doi) end as doi, cast(year as varchar) as y, journal, bibtex_key from citations where id < 150),
-f as (select file_id, name, lower(text) as raw, {_TITLE.format('text')} as body from (select {_FILES} from documents where doc_id < 300)),
+    f"""with e as (select entry_id, {_TITLE.format('title')} as t, coalesce(lower(doi), '') as doi, cast(year as varchar) as y, bibtex_key from (select {', '.join(_ENTRIES)} from benchmark)),
+f as (select file_id, name, lower(text) as raw, {_TITLE.format('text')} as body from (select {', '.join(_FILES)} from documents)),
 w as (select *, list_filter(string_split(t, ' '), lambda w: length(w) >= 4) as ws from e),
-s as (select entry_id, file_id from w, f where (doi <> '' and contains(raw, doi)) or (length(t) >= 10 and (contains(body, t) or len(ws) >= 3 and len(list_filter(ws, lambda x: contains(body, x))) >= ceil(len(ws) * 0.7)) and (contains(raw, y) or contains(body, 'smith')))),
+s as (select entry_id, file_id from w, f where (doi <> '' and contains(raw, doi)) or (length(t) >= 10 and (contains(body, t) or len(ws) >= 3 and len(list_filter(ws, lambda x: contains(body, x))) >= ceil(len(ws) * 0.7)) and (contains(raw, y) or contains(body, 'smith') or contains(body, 'lee')))),
 n as (select entry_id, count(*) as n from s group by 1)
 select e.entry_id, case when doi = '' then 'skipped' when n = 1 then 'matched' when n > 1 then 'ambiguous' when exists (select 1 from f where f.name = e.bibtex_key || '.pdf') then 'mismatch' else 'missing' end as status from e left join n using (entry_id)"""
 )
 def local_check(spark, d):
-    entries = read(spark, d, "citations").where("id < 150").selectExpr(*_split(_ENTRIES))
-    files = read(spark, d, "documents").where("doc_id < 300").selectExpr(*_split(_FILES))
-    return I.local_check(entries, files)
-
-
-def _split(columns: str) -> list[str]:
-    """Column expressions parted by top-level commas."""
-    out, depth = [""], 0
-    quoted = False
-    for c in columns:
-        quoted ^= c == "'"
-        depth += (c == "(") - (c == ")") if not quoted else 0
-        if c == "," and not depth and not quoted:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
+    return I.local_check(read(spark, d, "benchmark").selectExpr(*_ENTRIES), read(spark, d, "documents").selectExpr(*_FILES))

@@ -85,17 +85,16 @@ def quality_summary(spark, d):
 @query(
     """with t as (select doc_id, list_transform(string_split(text, chr(10)), lambda l: list_filter(string_split_regex(trim(l), '\\s+'), lambda w: length(w) >= 2)) as ls, string_split(text, chr(10)) as raw from documents),
 b as (select doc_id, raw, list_transform(ls, lambda ws: {'n': len(ws), 'b': len(list_filter(ws, lambda w: not regexp_matches(w, '[a-z]') and regexp_matches(w, '[A-Z]') and (regexp_matches(w, '[$%''/*+&^]') or length(w) >= 5 and regexp_matches(w, '[0-9]'))))}) as k from t)
-select doc_id, array_to_string(list_filter(raw, lambda x, i: not (k[i].n >= 3 and k[i].b >= 3 and k[i].b * 2 >= k[i].n)), chr(10)) as markdown from b where not exists (select 1 from documents q where q.doc_id = b.doc_id and (contains(q.text, '```') or contains(q.text, '~~~') or contains(q.text, '$$')))"""
+select doc_id, array_to_string(list_filter(raw, lambda x, i: not (k[i].n >= 3 and k[i].b >= 3 and k[i].b * 2 >= k[i].n)), chr(10)) as markdown from b"""
 )
 def garble_removed(spark, d):
-    rows = read(spark, d, "documents").where("not (contains(text, '```') or contains(text, '~~~') or contains(text, '$$'))")
-    return rows.select("doc_id", R.glyph_garble(F.col("text")).alias("markdown"))
+    return read(spark, d, "documents").select("doc_id", R.glyph_garble(F.col("text")).alias("markdown"))
 
 
 _LAYOUT = "'Journal of Things ' || cast(doc_id as string) || chr(10) || 'body one' || chr(12) || '12 Journal of Things ' || cast(doc_id as string) || chr(10) || 'b' || chr(12) || 'Journal of  Things 14'"
 
 
-@query("select doc_id, 'Journal of Things' as header from documents where doc_id < 10000")
+@query("select doc_id, 'Journal of Things' as header from documents")
 def running_headers(spark, d):
     return R.running_headers(_docs(spark, d, "text", _LAYOUT))
 
@@ -106,10 +105,9 @@ def headers_removed(spark, d):
     return R.without_headers(rows.select("doc_id", "markdown"), R.running_headers(rows))
 
 
-@query("select doc_id, regexp_replace(replace(text, '. ', chr(10) || chr(10) || ' ' || chr(10) || 'X'), '\\n[ \\t]*\\n([ \\t]*\\n)+', chr(10) || chr(10), 'g') as markdown from documents where not regexp_matches(text, '\\n\\s*\\n')")
+@query("select doc_id, regexp_replace(replace(text, '. ', chr(10) || chr(10) || ' ' || chr(10) || 'X'), '\\n[ \\t]*\\n([ \\t]*\\n)+', chr(10) || chr(10), 'g') as markdown from documents")
 def blank_lines_compacted(spark, d):
-    rows = read(spark, d, "documents").where("not text rlike '\\\\n\\\\s*\\\\n'")
-    return rows.select("doc_id", R.blank_runs(F.expr("replace(text, '. ', chr(10) || chr(10) || ' ' || chr(10) || 'X')")).alias("markdown"))
+    return read(spark, d, "documents").select("doc_id", R.blank_runs(F.expr("replace(text, '. ', chr(10) || chr(10) || ' ' || chr(10) || 'X')")).alias("markdown"))
 
 
 @query("with q as (select embedding as q from embeddings where vec_id = 0) select vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) as similarity from embeddings, q")

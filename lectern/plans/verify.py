@@ -79,13 +79,14 @@ def texts_normalized(spark, d):
 
 
 @query(
-    """with w as (select doc_id, list_distinct(list_filter(list_transform(string_split_regex(trim(lower(text)), '\\s+'), lambda x: regexp_replace(regexp_replace(x, '^[^\\p{L}\\p{N}]+', ''), '[^\\p{L}\\p{N}]+$', '')), lambda x: x <> '')) as t from documents),
-q as (select item_id, list_distinct(list_filter(list_transform(string_split_regex(trim(lower(text)), '\\s+'), lambda x: regexp_replace(regexp_replace(x, '^[^\\p{L}\\p{N}]+', ''), '[^\\p{L}\\p{N}]+$', '')), lambda x: x <> '')) as t from benchmark)
-select doc_id, item_id, floor(len(list_intersect(q.t, w.t)) / len(q.t) * 100 + 0.5) / 100 as similarity from w join q on w.doc_id % 40 = q.item_id % 40"""
+    """with w0 as (select doc_id, (list_filter(list_transform(string_split_regex(trim(lower(text)), '\\s+'), lambda x: regexp_replace(regexp_replace(x, '^[^\\p{L}\\p{N}]+', ''), '[^\\p{L}\\p{N}]+$', '')), lambda x: x <> '')) as t from documents),
+q0 as (select item_id, (list_filter(list_transform(string_split_regex(trim(lower(text)), '\\s+'), lambda x: regexp_replace(regexp_replace(x, '^[^\\p{L}\\p{N}]+', ''), '[^\\p{L}\\p{N}]+$', '')), lambda x: x <> '')) as t from benchmark),
+w as (select doc_id, t[1] as k, list_distinct(t) as t from w0), q as (select item_id, t[1] as k, list_distinct(t) as t from q0)
+select doc_id, item_id, floor(len(list_intersect(q.t, w.t)) / len(q.t) * 100 + 0.5) / 100 as similarity from w join q on w.k = q.k"""
 )
 def token_overlap(spark, d):
     from ..functions.text import quote_tokens, rounded, trimmed
 
-    w = read(spark, d, "documents").select("doc_id", quote_tokens(trimmed(F.lower("text"))).alias("t"), (F.col("doc_id") % 40).alias("k"))
-    q = read(spark, d, "benchmark").select("item_id", quote_tokens(trimmed(F.lower("text"))).alias("q"), (F.col("item_id") % 40).alias("k"))
+    w = read(spark, d, "documents").select("doc_id", quote_tokens(trimmed(F.lower("text"))).alias("t")).withColumn("k", F.get("t", F.lit(0)))
+    q = read(spark, d, "benchmark").select("item_id", quote_tokens(trimmed(F.lower("text"))).alias("q")).withColumn("k", F.get("q", F.lit(0)))
     return w.join(q, "k").select("doc_id", "item_id", rounded(F.size(F.array_intersect("q", "t")) / F.size("q"), 2).alias("similarity"))

@@ -50,33 +50,41 @@ def shared_folder(spark: SparkSession) -> str:
     return set_to
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str]] = []
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path, name in _written:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            if name:
+                spark.sql(f"drop table if exists {name}")
         except Exception:  # noqa: BLE001  the session may have ended before
             return
 
 
-def written(df: DataFrame, release: bool = False) -> DataFrame:
+def written(df: DataFrame, release: bool = False, bucket: tuple[int, str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut and any executor can read it again.
 
     release: also lets Spark drop the shuffle files that made it, which it does once the driver collects garbage.
+    bucket: (n, column) deals the table into n buckets, so that grouping by the column needs no shuffle of it.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lectern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
+    spark, schema = df.sparkSession, df.schema
+    name = f"lectern_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    if bucket:
+        df.write.format("parquet").bucketBy(*bucket).option("path", path).saveAsTable(name)
+    else:
+        df.write.parquet(path)
+    _written.append((spark, path, name if bucket else ""))
+    del df
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.table(name) if bucket else spark.read.schema(schema).parquet(path)
 
 
 def text_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:

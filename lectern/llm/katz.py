@@ -7,7 +7,8 @@ discounted, when it is c(h) / (c(h) + 1) to leave something. A document's start
 predecessor's end would be, so that every token has a context and c(h) is h's unigram count.
 
 Text is read once, into chunks of tokens written to the shared folder: distinct words as 64-bit hashes, and the
-token stream as numbers of the chunk's words. All counting is between chunks and hash ranges of n-grams, in
+token stream as numbers of the chunk's words. The table is bucketed by chunk, so that what comes back to a chunk
+is shuffled to where the chunk is, never the chunk. All counting is between chunks and hash ranges of n-grams, in
 compressed columns and pre-aggregated by chunk:
 
 1. Each chunk asks each range of words for their counts; ranges sum over chunks and answer in the asked order.
@@ -285,7 +286,8 @@ def scores(docs: DataFrame) -> DataFrame:
     rows every word is unknown; no rows give no rows; other columns are ignored.
     """
     spark = session(docs)
-    read = written(chunks(docs))
+    buckets = 2 * max(1, docs.rdd.getNumPartitions())
+    read = written(chunks(docs), bucket=(buckets, "chunk"))
 
     def meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,13 +309,12 @@ def scores(docs: DataFrame) -> DataFrame:
     hot = max(HOT_TOKENS, -(-total // MOST_HOT))
     answers = words.where("chunk >= 0")
 
-    def ask_bigrams(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        chunk = Chunk(next(r for r in rows if r["kind"] == 0), word_ranges)
-        c1 = chunk.counted([r for r in rows if r["kind"] == 1])
+    def ask_bigrams(own: pa.Table, told: pa.Table) -> pa.Table:
+        chunk = Chunk(own.to_pylist()[0], word_ranges)
+        c1 = chunk.counted(told.to_pylist())
         return pa.Table.from_pylist(list(chunk.bigrams(c1, ranges, hot).requests(chunk.id)), SCHEMA)
 
-    model = written(read.unionByName(answers).groupBy("chunk").applyInArrow(ask_bigrams, ROW).groupBy("p").applyInArrow(_sum_bigrams, MODEL), release=True)
+    model = written(read.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask_bigrams, ROW).groupBy("p").applyInArrow(_sum_bigrams, MODEL), release=True)
     sums = {r.pos: r.s for r in model.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
     d2 = discounts(np.array([0, *(sums.get(k, 0) for k in range(K + 1))], float))
 
@@ -342,9 +343,9 @@ def scores(docs: DataFrame) -> DataFrame:
                     out.append(_row(chunk, 2, r["p"], [counts, pack(a[at]), pack(s[at])]))
                 yield pa.RecordBatch.from_pylist(out, SCHEMA)
 
-    def score(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        chunk = Chunk(next(r for r in rows if r["kind"] == 0), word_ranges)
+    def score(own: pa.Table, told: pa.Table) -> pa.Table:
+        rows = told.to_pylist()
+        chunk = Chunk(own.to_pylist()[0], word_ranges)
         c1 = chunk.counted([r for r in rows if r["kind"] == 1])
         b = chunk.bigrams(c1, ranges, hot)
         p = np.empty(b.h.size)
@@ -367,4 +368,4 @@ def scores(docs: DataFrame) -> DataFrame:
         )
 
     told = model.select(*table, "p", "chunks", "counts", "places").mapInArrow(answer, ROW)
-    return read.unionByName(answers).unionByName(told).groupBy("chunk").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return read.groupBy("chunk").cogroup(answers.unionByName(told).groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -104,3 +104,160 @@ def without_headers(documents: DataFrame, headers: DataFrame, key: str = "doc_id
 def repaired(text: Column) -> Column:
     """The passes that need the Markdown alone, in order."""
     return blank_runs(glyph_garble(artifacts(text)))
+
+
+# Passes over blocks of lines: one Arrow pass a document, as a block ends where a later line says so.
+
+PIPE = re.compile(r"\s*\|.*\|\s*\Z")
+RULE = re.compile(r"\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*\Z")
+CAPTION = re.compile(r"\b(?:Table|Tab\.?|Figure|Fig\.?|Chart)\s+\d+\s*[:.]", re.I)
+#: Words before a caption's label that make it a mention.
+MENTION = re.compile(r"(?:\A|\s)(?:in|on|see|from|of|to|and|via|cf\.?|figs?\.?)\Z", re.I)
+MOST_CELL, MOST_ROW = 80, 180
+
+
+def _outside_fences(lines: list[str]):
+    """(line, whether it is plain text) of each line; fences and what is in them are not."""
+    fence = False
+    for line in lines:
+        mark = re.match(r"\s*(```|~~~)", line) is not None
+        yield line, not (fence or mark)
+        fence ^= mark
+
+
+def captions_apart(text: str) -> str:
+    """A caption at the end of a line of prose gets a line of its own; a mention of it does not."""
+    out: list[str] = []
+    for line, is_text in _outside_fences(text.split("\n")):
+        m = CAPTION.search(line) if is_text and not CAPTION.match(line.strip()) else None
+        before = line[: m.start()].rstrip() if m else ""
+        if m and m.start() >= 20 and (before[-1:] in ".!?)" or len(before) >= 80) and not MENTION.search(before):
+            out += [before, "", line[m.start() :].lstrip()]
+        else:
+            out.append(line)
+    return "\n".join(out)
+
+
+def math_flush(text: str) -> str:
+    """Display math without indentation."""
+    out, math = [], False
+    for line in text.split("\n"):
+        mark = line.strip() == "$$"
+        out.append(line.strip() if math or mark else line)
+        math ^= mark
+    return "\n".join(out)
+
+
+def tables_once(text: str) -> str:
+    """A table that is repeated word for word stays at its first place only; blank lines do not pile up."""
+    lines, out, seen, k = text.split("\n"), [], set(), 0
+    while k < len(lines):
+        stop = k + 1
+        if k + 1 < len(lines) and PIPE.match(lines[k]) and RULE.match(lines[k + 1]):
+            stop = k + 2
+            while stop < len(lines) and PIPE.match(lines[stop]):
+                stop += 1
+            key = tuple(" ".join(x.split()) for x in lines[k:stop])
+            if key not in seen:
+                seen.add(key)
+                out += lines[k:stop]
+        else:
+            out.append(lines[k])
+        k = stop
+    return "\n".join(x for n, x in enumerate(out) if x.strip() or not n or out[n - 1].strip()).rstrip()
+
+
+def _cells(line: str) -> tuple[str, list[str]] | None:
+    """How a line could be a table's row - by bars or by gaps - and its cells."""
+    t = line.strip()
+    if not t or len(t) > MOST_ROW or re.match(r"#{1,6}\s|>|[-*+]\s|\d+\.\s|<!--|!\[|\$\$", t):
+        return None
+    kind = "bars" if t.count("|") >= 1 and not t.startswith("http") else "gaps"
+    parts = [c.strip() for c in (re.split(r"(?<!\\)\|", t.strip("|")) if kind == "bars" else re.split(r"\t+| {2,}", t))]
+    if kind == "gaps":
+        parts = [c for c in parts if c]
+    return (kind, parts) if len(parts) >= 2 and all(len(c) <= MOST_CELL for c in parts) else None
+
+
+def tables_ruled(text: str) -> str:
+    """Runs of rows of equally many cells, two at least, become tables with a rule below the first."""
+    out: list[str] = []
+    held: list[tuple[str, str, list[str]]] = []
+
+    def flush() -> None:
+        rows = [c for line, _, c in held if not RULE.match(line)]
+        if len(rows) >= 2 and len({len(c) for c in rows}) == 1:
+            mark = lambda c: "| " + " | ".join(c) + " |"
+            out.extend([mark(rows[0]), "| " + " | ".join("---" for _ in rows[0]) + " |", *map(mark, rows[1:])])
+        else:
+            out.extend(line for line, _, _ in held)
+        held.clear()
+
+    for line, is_text in _outside_fences(text.split("\n")):
+        got = _cells(line) if is_text else None
+        if got is None or held and held[0][1] != got[0]:
+            flush()
+        if got is None:
+            out.append(line)
+        else:
+            held.append((line, *got))
+    flush()
+    return "\n".join(out)
+
+
+REFERENCES = re.compile(r"(?:#{1,6}\s*)?(?:\d+\.\s*)?references\b[:.]?", re.I)
+
+
+def references_listed(text: str) -> str:
+    """The entries after the References heading as a numbered list, whatever marks them: [n], n., bullets, or a blank
+    line between them."""
+    lines = text.split("\n")
+    at = next((k for k, line in enumerate(lines) if REFERENCES.match(line.strip())), None)
+    if at is None:
+        return text
+    rest = "\n".join([REFERENCES.sub("", lines[at].strip(), count=1).strip(), *lines[at + 1 :]]).strip()
+    rest = re.sub(r"<!--\s*PAGE_BREAK\s*-->", "\n\n", rest, flags=re.I)
+    flat = lambda s: " ".join(s.split())
+    if not rest:
+        return "\n".join([*lines[:at], "## References"])
+    marks = list(re.finditer(r"\[(\d{1,3})\]", flat(rest)))
+    numbered = list(re.finditer(r"^\s*(\d{1,3})\.\s+(?=\S)", rest, re.M))
+    bullets = list(re.finditer(r"^\s*[-*+]\s+(?=\S)", rest, re.M))
+    if len(marks) >= 2 or marks and not numbered and not bullets:
+        whole = flat(rest)
+        found = [(m[1], whole[m.end() : n.start() if n else None]) for m, n in zip(marks, [*marks[1:], None])]
+    elif numbered:
+        found = [(m[1], rest[m.end() : n.start() if n else None]) for m, n in zip(numbered, [*numbered[1:], None])]
+    elif bullets:
+        found = [(str(k), rest[m.end() : n.start() if n else None]) for k, (m, n) in enumerate(zip(bullets, [*bullets[1:], None]), 1)]
+    else:
+        found = [(str(k), x) for k, x in enumerate(re.split(r"\n\s*\n", rest), 1)]
+    entries = [f"{int(n)}. {flat(x)}" for n, x in found if flat(x)]
+    return "\n".join([*lines[:at], "## References", "", *entries]) if entries else text
+
+
+def _pass(f):
+    @F.pandas_udf(T.StringType())
+    def apply(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t if t is None else f(t))
+
+    return apply
+
+
+#: The block passes by name, in the order in which they run.
+BLOCK_PASSES = {"tables_ruled": tables_ruled, "captions_apart": captions_apart, "references_listed": references_listed, "tables_once": tables_once, "math_flush": math_flush}
+
+
+def block_pass(name: str, text: Column) -> Column:
+    return _pass(BLOCK_PASSES[name])(text)
+
+
+def all_passes(text: Column) -> Column:
+    """Every pass that needs the Markdown alone, in order; the block passes share one trip to Python."""
+
+    def blocks(t: str) -> str:
+        for f in BLOCK_PASSES.values():
+            t = f(t)
+        return t
+
+    return blank_runs(glyph_garble(_pass(blocks)(artifacts(text))))

@@ -91,6 +91,37 @@ def garble_removed(spark, d):
     return read(spark, d, "documents").select("doc_id", R.glyph_garble(F.col("text")).alias("markdown"))
 
 
+_NOTED = "'Some text that goes on and on. Figure 3: a caption' || chr(10) || text || chr(10) || 'as we see in Table 4: not this'"
+
+
+@query("select doc_id, 'Some text that goes on and on.' || chr(10) || chr(10) || 'Figure 3: a caption' || chr(10) || text || chr(10) || 'as we see in Table 4: not this' as markdown from documents")
+def captions_apart(spark, d):
+    return _docs(spark, d, _NOTED).select("doc_id", R.block_pass("captions_apart", F.col("markdown")).alias("markdown"))
+
+
+@query("select doc_id, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || cast(doc_id as varchar) || ' |' || chr(10) || 'end' as markdown from documents")
+def tables_ruled(spark, d):
+    return _docs(spark, d, "'a   b' || chr(10) || '1    ' || cast(doc_id as string) || chr(10) || 'end'").select("doc_id", R.block_pass("tables_ruled", F.col("markdown")).alias("markdown"))
+
+
+@query("select doc_id, 'x' || chr(10) || '## References' || chr(10) || chr(10) || '1. One ' || cast(doc_id as varchar) || chr(10) || '2. Two three' as markdown from documents")
+def references_listed(spark, d):
+    refs = "case doc_id % 3 when 0 then '[1] One ' || cast(doc_id as string) || ' [2] Two' || chr(10) || 'three' when 1 then '1. One ' || cast(doc_id as string) || chr(10) || '2. Two three' else '- One ' || cast(doc_id as string) || chr(10) || '* Two' || chr(10) || ' three' end"
+    return _docs(spark, d, f"'x' || chr(10) || '# 7. References' || chr(10) || {refs}").select("doc_id", R.block_pass("references_listed", F.col("markdown")).alias("markdown"))
+
+
+@query("select doc_id, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10) || 'end' as markdown from documents")
+def tables_once(spark, d):
+    t = "'| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10)"
+    return _docs(spark, d, f"{t} || chr(10) || replace({t}, ' 1', '  1') || chr(10) || 'end'").select("doc_id", R.block_pass("tables_once", F.col("markdown")).alias("markdown"))
+
+
+@query()
+def documents_repaired(spark, d):
+    """All passes over the documents."""
+    return read(spark, d, "documents").select("doc_id", R.all_passes(F.col("text")).alias("markdown"))
+
+
 _LAYOUT = "'Journal of Things ' || cast(doc_id as string) || chr(10) || 'body one' || chr(12) || '12 Journal of Things ' || cast(doc_id as string) || chr(10) || 'b' || chr(12) || 'Journal of  Things 14'"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import layout as L
 from ..operators import quality as Q
 from ..operators import repair as R
 from ..operators import vectors as V
@@ -91,6 +92,31 @@ def garble_removed(spark, d):
     return read(spark, d, "documents").select("doc_id", R.glyph_garble(F.col("text")).alias("markdown"))
 
 
+_PAGE = "'1. Big Heading Here' || chr(10) || 'body' || chr(10) || '2.1 Data and Labels    B. Other Part ' || chr(10) || 'Table 2: Numbers' || chr(10) || chr(10) || '  name     value' || chr(10) || '  one      ' || cast(doc_id as string) || chr(10) || '  two      7' || chr(10) || chr(12) || '   y = a + b       (4)' || chr(10) || 'REFERENCES' || chr(10) || '3. Not This One'"
+
+
+@query("select doc_id, unnest(['1. Big Heading Here', '2.1 Data and Labels', 'B. Other Part', 'REFERENCES']) as text, unnest([2, 3, 3, 2]) as level, unnest([1, 1, 1, 2]) as page from documents")
+def layout_headings(spark, d):
+    return _docs(spark, d, "text", _PAGE).select("doc_id", F.explode(L.layout_headings(F.col("layout"))).alias("h")).select("doc_id", "h.*")
+
+
+@query("select doc_id, '2' as number, 1 as page, '| name | value |' || chr(10) || '| --- | --- |' || chr(10) || '| one | ' || cast(doc_id as varchar) || ' |' || chr(10) || '| two | 7 |' as markdown from documents")
+def layout_tables(spark, d):
+    return _docs(spark, d, "text", _PAGE).select("doc_id", F.explode(L.layout_tables(F.col("layout"))).alias("t")).select("doc_id", "t.*")
+
+
+@query("select doc_id, '4' as label, 2 as page, 'y = a + b' as latex from documents")
+def layout_equations(spark, d):
+    return _docs(spark, d, "text", _PAGE).select("doc_id", F.explode(L.layout_equations(F.col("layout"))).alias("e")).select("doc_id", "e.*")
+
+
+@query("select doc_id, ['B. Other Part', 'REFERENCES'] as missing from documents")
+def missing_headings(spark, d):
+    md = "'## Big heading here' || chr(10) || '### 2.1. Data and labels'"
+    rows = _docs(spark, d, md, _PAGE)
+    return rows.select("doc_id", L.missing_headings(F.col("layout"), Q.section_headings(Q.lines_of(F.col("markdown")))).alias("missing"))
+
+
 _NOTED = "'Some text that goes on and on. Figure 3: a caption' || chr(10) || text || chr(10) || 'as we see in Table 4: not this'"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import equations as Q2
 from ..operators import layout as L
 from ..operators import quality as Q
 from ..operators import repair as R
@@ -117,6 +118,21 @@ def missing_headings(spark, d):
     return rows.select("doc_id", L.missing_headings(F.col("layout"), Q.section_headings(Q.lines_of(F.col("markdown")))).alias("missing"))
 
 
+_SOURCE = "'a = b + c + d  (1)' || chr(10) || 'x = y - z  (2)' || chr(10) || 'p = q + r  (3)' || chr(10) || 'u = v + w  (4)' || chr(10) || 'k = 2 m + ' || cast(doc_id as string) || '  (5)'"
+_MATH = "'$$' || chr(10) || 'a = b + c + d \\\\tag{1}' || chr(10) || '$$' || chr(10) || 'x = y - z  (2)' || chr(10) || '$$' || chr(10) || 'f(g) h j \\\\tag{3}' || chr(10) || '$$' || chr(10) || '$$ Equation not extracted \\\\tag{4} $$'"
+
+
+@query("select doc_id, unnest(['1', '2', '3', '4', '5']) as label, unnest(['matched', 'format-issue', 'content-mismatch', 'placeholder', 'missing']) as status from documents")
+def equation_statuses(spark, d):
+    return Q2.compared(_docs(spark, d, _MATH, _SOURCE)).select("doc_id", "label", "status")
+
+
+@query("select doc_id, unnest([3, 5, 5, 6, 9]) as line, unnest(['row ends at the equals sign', 'fraction stacked in rows', 'superscript without a base or exponent', 'row begins with an operator', 'display math is not closed']) as message from documents")
+def render_issues(spark, d):
+    text = "'text' || chr(10) || '$$' || chr(10) || 'y = \\\\\\\\' || chr(10) || 'a = b' || chr(10) || 'k ^' || chr(10) || '+ 2' || chr(10) || 'z = 1' || chr(10) || '$$' || chr(10) || '$$' || chr(10) || cast(doc_id as string)"
+    return _docs(spark, d, text).select("doc_id", F.explode(Q2.render_issues(F.col("markdown"))).alias("i")).select("doc_id", "i.*")
+
+
 _NOTED = "'Some text that goes on and on. Figure 3: a caption' || chr(10) || text || chr(10) || 'as we see in Table 4: not this'"
 
 

@@ -89,4 +89,4 @@ def index_postings(spark, d):
 def best_passages(spark, d):
     p, n = X.build_index(_bodies(spark, d), "chunk_id", ["text"], False)
     hits = X.bm25(p, n, "chunk_id", [["erin"]]).withColumn("citation_id", F.col("chunk_id") % 50)
-    return R.best_passages(hits).select(F.col("chunk_id").alias("id"), F.col("nth").alias("place"))
+    return R.best_passages(hits).select(F.col("chunk_id").alias("id"), F.col("nth").cast("long").alias("place"))

@@ -17,7 +17,7 @@ def citations_newest(spark, d):
     from pyspark.sql import Window as W
 
     rows = R.newest_first(read(spark, d, "citations")).limit(100)
-    return rows.select("id", "doi", "created_at", F.row_number().over(W.orderBy(F.desc("created_at"), F.desc("id"))).alias("place"))
+    return rows.select("id", "doi", "created_at", F.row_number().over(W.orderBy(F.desc("created_at"), F.desc("id"))).cast("long").alias("place"))
 
 
 @query(f"with {ctes('citations')} select id, doi, title, year from citations where doi = '10.1003/src17.17'")

@@ -38,7 +38,7 @@ select doc_id, len(h) as n_headings, round(greatest(0.0, least(1.0, 1 - 0.12 * l
 )
 def heading_flows(spark, d):
     rows = _docs(spark, d, _MD).select("doc_id", Q.headings(Q.lines_of(F.col("markdown"))).alias("h"))
-    return rows.select("doc_id", F.size("h").alias("n_headings"), F.round(Q.heading_flow(F.col("h")), 3).alias("score"))
+    return rows.select("doc_id", F.size("h").cast("long").alias("n_headings"), F.round(Q.heading_flow(F.col("h")), 3).alias("score"))
 
 
 @query(
@@ -57,12 +57,12 @@ select doc_id, n as n_tables, len(list_filter(rows, lambda x: ends_with(trim(x),
 )
 def markdown_tables(spark, d):
     rows = _docs(spark, d, _TABLES).select("doc_id", Q.tables(Q.lines_of(F.col("markdown"))).alias("t"))
-    return rows.select("doc_id", F.col("t.n").alias("n_tables"), F.col("t.valid").alias("n_valid"))
+    return rows.select("doc_id", F.col("t.n").cast("long").alias("n_tables"), F.col("t.valid").cast("long").alias("n_valid"))
 
 
 @query("select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?')) as n_words from documents")
 def word_counts(spark, d):
-    return read(spark, d, "documents").select("doc_id", Q.word_count(F.col("text")).alias("n_words"))
+    return read(spark, d, "documents").select("doc_id", Q.word_count(F.col("text")).cast("long").alias("n_words"))
 
 
 @query("select doc_id, case when doc_id % 3 = 0 then 0 when doc_id % 3 = 1 then 3 else 2 end as n_refs from documents")

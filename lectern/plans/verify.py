@@ -37,7 +37,7 @@ hits as (select quote_id, doc_id, needle, norm, strpos(norm, needle) as pos, row
 from hits where nth <= 5"""
 )
 def quotes_exact(spark, d):
-    return V.exact_matches(_quotes(spark, d), _docs(spark, d), compose=False)
+    return V.exact_matches(_quotes(spark, d), _docs(spark, d), compose=False).withColumn("nth", F.col("nth").cast("long"))
 
 
 @query(f"with {_HITS} select n.quote_id, case when count(doc_id) > 0 then 'exact' else 'not-found' end as verdict, least(count(doc_id), 5) as n_matches from n left join hits using (quote_id) group by n.quote_id")
@@ -45,7 +45,7 @@ def quotes_verdicts(spark, d):
     return V.verdicts(_quotes(spark, d), _docs(spark, d), None, compose=False)
 
 
-@query("select item_id as quote_id, 'quote-too-short' as verdict, 0 as n_matches from benchmark")
+@query("select item_id as quote_id, 'quote-too-short' as verdict, cast(0 as bigint) as n_matches from benchmark")
 def quotes_too_short(spark, d):
     short = _quotes(spark, d).withColumn("quote", F.substring("quote", 1, 9))
     return V.verdicts(short, _docs(spark, d), None, compose=False)

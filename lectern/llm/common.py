@@ -66,10 +66,15 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, release: bool = False, bucket: tuple[int, str] | None = None) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files that nothing needs any more, which it does once the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def written(df: DataFrame, bucket: tuple[int, str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut and any executor can read it again.
 
-    release: also lets Spark drop the shuffle files that made it, which it does once the driver collects garbage.
     bucket: (n, column) deals the table into n buckets, so that grouping by the column needs no shuffle of it.
     """
     spark, schema = df.sparkSession, df.schema
@@ -80,10 +85,6 @@ def written(df: DataFrame, release: bool = False, bucket: tuple[int, str] | None
     else:
         df.write.parquet(path)
     _written.append((spark, path, name if bucket else ""))
-    del df
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return spark.table(name) if bucket else spark.read.schema(schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ compressed columns and pre-aggregated by chunk:
 3. Ranges answer with counts and backoff weights; each chunk evaluates its tokens, recursively.
 
 A word's rows in a range are at most one a chunk, so frequent words make no skew. Words are 64-bit hashes as
-contexts and 48-bit ones as a context's successors.
+contexts and 40-bit ones as a context's successors (a context with a million of them expects half a clash).
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import byte_lists, session, text_bytes, written
+from .common import byte_lists, release, session, text_bytes, written
 
 K = 5
 CHUNK_TOKENS = 1 << 20
@@ -48,7 +48,7 @@ ROW = "chunk long, kind int, p int, docs array<long>, b0 binary, b1 binary, b2 b
 def pack(a: np.ndarray) -> bytes:
     """An array's bytes, plane by plane, compressed; planes of zeros take no room."""
     a = np.ascontiguousarray(a)
-    return a.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(a.size, a.itemsize).T.tobytes())
+    return a.dtype.char.encode() + zstandard.ZstdCompressor(level=3).compress(a.view(np.uint8).reshape(a.size, a.itemsize).T.tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
@@ -174,7 +174,7 @@ class Bigrams:
         key, self.inverse = np.unique(before * n + chunk.stream, return_inverse=True)
         h, w = key // n, key % n
         count = np.bincount(self.inverse, chunk.weights, key.size).astype(np.uint32)
-        hh, wh = chunk.hashes[h], chunk.hashes[w] >> np.uint64(16)
+        hh, wh = chunk.hashes[h], chunk.hashes[w] >> np.uint64(24)
         split = np.where(c1[h] > hot, wh % np.maximum(1, -(-c1[h] // hot)).astype(np.uint64), 0).astype(np.uint64)
         part = (mixed(hh + split) >> np.uint64(20)) % np.uint64(n_ranges)
         self.order = np.lexsort((wh, hh, part))
@@ -189,7 +189,9 @@ class Bigrams:
                 hh = self.hh[x:y]
                 head = np.flatnonzero(np.concatenate([[True], hh[1:] != hh[:-1]]))
                 n = np.diff(np.append(head, y - x)).astype(np.uint32)
-                blobs = [hh[head], n, self.c1[self.h[x:y][head]], self.wh[x:y], self.c1[self.w[x:y]], self.count[x:y]]
+                c = self.count[x:y]
+                # Only bigrams seen in training weigh a successor's unigram count.
+                blobs = [hh[head], n, self.c1[self.h[x:y][head]], self.wh[x:y], np.where(c > 0, self.c1[self.w[x:y]], 0), c]
                 yield _row(chunk, 2, p, [pack(b) for b in blobs])
 
 
@@ -229,8 +231,9 @@ def _sum_bigrams(t: pa.Table) -> pa.Table:
     contexts, first = np.unique(np.concatenate(heads), return_index=True)
     c1 = np.concatenate([unpack(r["b2"]) for r in rows])[first]
     keep = np.flatnonzero(head)
+    weight = np.maximum.reduceat(cw[order], keep)
     seen = total > 0
-    keep = keep[seen]
+    keep, weight = keep[seen], weight[seen]
     n = np.bincount(np.searchsorted(contexts, hs[keep]), minlength=contexts.size).astype(np.uint32)
     cuts = np.concatenate([[0], np.cumsum([int(x.sum()) for x in sizes])])
     row = {
@@ -239,9 +242,9 @@ def _sum_bigrams(t: pa.Table) -> pa.Table:
         "t_h": pack(contexts),
         "t_c1": pack(c1),
         "t_n": pack(n),
-        "t_w": pack((ws[keep] >> np.uint64(16)).astype(np.uint32)),
+        "t_w": pack((ws[keep] >> np.uint64(8)).astype(np.uint32)),
         "t_c": pack(total[seen]),
-        "t_cw": pack(cw[order][keep]),
+        "t_cw": pack(weight),
         "chunks": [r["chunk"] for r in rows],
         "counts": [pack(answer[x:y].astype(np.uint64)) for x, y in zip(cuts, cuts[1:])],
         "places": [pack(np.searchsorted(contexts, a).astype(np.uint32)) for a in heads],
@@ -302,7 +305,8 @@ def scores(docs: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 yield pa.RecordBatch.from_pylist(list(Chunk(r, word_ranges).word_requests()), SCHEMA)
 
-    words = written(read.mapInArrow(ask_words, ROW).groupBy("p").applyInArrow(_sum_words, ROW), release=True)
+    words = written(read.mapInArrow(ask_words, ROW).groupBy("p").applyInArrow(_sum_words, ROW))
+    release(spark)
     sums = {r.pos: r.s for r in words.where("chunk = -1").select(F.posexplode("docs")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
     total, kinds = sums.get(0, 0), sums.get(1, 0)
     uni = Unigrams(total, kinds, np.array([0, *(sums.get(k + 1, 0) for k in range(1, K + 2))], float))
@@ -314,7 +318,8 @@ def scores(docs: DataFrame) -> DataFrame:
         c1 = chunk.counted(told.to_pylist())
         return pa.Table.from_pylist(list(chunk.bigrams(c1, ranges, hot).requests(chunk.id)), SCHEMA)
 
-    model = written(read.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask_bigrams, ROW).groupBy("p").applyInArrow(_sum_bigrams, MODEL), release=True)
+    model = written(read.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask_bigrams, ROW).groupBy("p").applyInArrow(_sum_bigrams, MODEL))
+    release(spark)
     sums = {r.pos: r.s for r in model.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
     d2 = discounts(np.array([0, *(sums.get(k, 0) for k in range(K + 1))], float))
 

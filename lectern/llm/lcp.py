@@ -29,7 +29,7 @@ BINS = 64
 LEVEL = 3
 #: Symbols between documents, distinct and more than any label's reach.
 PAD = 12
-ROWS_A_RANGE = 4096
+ROWS_A_RANGE = 1024
 BATCH_CHARS = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -178,7 +178,7 @@ def successors(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.alias("_place"))
     n = rows.count()
     parts = max(1, n // ROWS_A_RANGE)
-    cuts = sorted(set(rows.where("doc_id is not null").approxQuantile("_place", [k / parts for k in range(1, parts)], min(0.01, 0.1 / parts)))) if parts > 1 else []
+    cuts = sorted(set(rows.where("doc_id is not null").approxQuantile("_place", [k / parts for k in range(1, parts)], min(0.01, max(1e-4, 0.1 / parts))))) if parts > 1 else []
     if cuts:
         rows = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_place", outputCol="_range").transform(rows)
     else:

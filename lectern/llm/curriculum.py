@@ -34,7 +34,7 @@ def source_targets(sizes: DataFrame, factor: float = 1.5, most: int = 2) -> Data
     Sources in order of code points, a null source last, have the weights 3, 1, 2, repeating. They share
     `factor` of all sizes by weight; a target stops at `most` times its source's size, and the excess is shared
     again by weight until none is above. That level is found at once: with sources in order of the ratio of
-    bound to weight, those before the first that stays within its share are at their bound. Sources without
+    bound to weight, those before the first that stays within its share are at their bound (later levels are only lower). Sources without
     words have target 0. One row a source is gathered, never documents.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, factor: float = 1.5, most: int = 2) -> Data
         .withColumn("rest", F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("total", F.sum("source_size").over(every))
         .withColumn("level", (F.col("total") * factor - F.col("before")) / F.col("rest"))
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= bound, F.col("level"))).over(every))
+        .withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= bound, F.col("level"))).over(every))
     )
     share = F.least(F.col("level") * F.col("weight"), bound.cast("double"))
     return level.select("source", "weight", "tilt", "source_size", F.coalesce(share, bound.cast("double")).alias("target"))

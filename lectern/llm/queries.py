@@ -96,7 +96,7 @@ w as (select *, cast([3, 1, 2][rk % 3 + 1] as bigint) as weight, cast([0.5, 0.0,
 l as (select *, coalesce(sum(source_size * 2) over (order by source_size / weight, rk rows between unbounded preceding and 1 preceding), 0) as before,
  sum(weight) over (order by source_size / weight, rk rows between current row and unbounded following) as rest, sum(source_size) over () as total from w),
 v as (select *, (cast(total as double) * 1.5 - cast(before as double)) / cast(rest as double) as lv from l),
-g as (select *, min(case when lv * weight <= source_size * 2 then lv end) over () as level from v),
+g as (select *, max(case when lv * weight <= source_size * 2 then lv end) over () as level from v),
 t as (select source, source_size, tilt, coalesce(least(level * weight, cast(source_size * 2 as double)), cast(source_size * 2 as double)) as target from g),
 q as (select d.doc_id, d.size, t.source_size, t.target, t.tilt, coalesce(sum(d.size) over (partition by d.source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0) as place
  from d join t on d.source is not distinct from t.source),

@@ -6,7 +6,7 @@ a(h) makes the probabilities of all types after h sum to one exactly; s(h) is 1
 discounted, when it is c(h) / (c(h) + 1) to leave something. A document's start is the context that its
 predecessor's end would be, so that every token has a context and c(h) is h's unigram count.
 
-Text is read once, into chunks of tokens written to the shared folder: distinct words as 64-bit hashes, and the
+Text is read once, into chunks of tokens written to the shared folder: distinct words as 56-bit hashes, and the
 token stream as numbers of the chunk's words. The table is bucketed by chunk, so that what comes back to a chunk
 is shuffled to where the chunk is, never the chunk. All counting is between chunks and hash ranges of n-grams, in
 compressed columns and pre-aggregated by chunk:
@@ -17,7 +17,7 @@ compressed columns and pre-aggregated by chunk:
    The merged tables of the ranges are the model; they are written before anything is scored.
 3. Ranges answer with counts and backoff weights; each chunk evaluates its tokens, recursively.
 
-A word's rows in a range are at most one a chunk, so frequent words make no skew. Words are 64-bit hashes as
+A word's rows in a range are at most one a chunk, so frequent words make no skew. Words are 56-bit hashes as
 contexts and 40-bit ones as a context's successors (a context with a million of them expects half a clash).
 """
 
@@ -37,11 +37,11 @@ from pyspark.taskcontext import TaskContext
 from .common import byte_lists, release, session, text_bytes, written
 
 K = 5
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 3 << 19
 RANGE_ENTRIES = 1_500_000
 HOT_TOKENS = 250_000
 MOST_HOT = 65_536
-END_HASH = np.uint64(0x9E3779B97F4A7C15)
+END_HASH = np.uint64(0x9E3779B97F4A7C)
 ROW = "chunk long, kind int, p int, docs array<long>, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary, b5 binary"
 
 
@@ -108,7 +108,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         def chunk() -> pa.RecordBatch:
             nonlocal first, held
             digest = xxhash.xxh64_intdigest
-            hashes = np.array([int(END_HASH), *(digest(w) for w in numbers)], np.uint64)
+            hashes = np.array([int(END_HASH), *(digest(w) >> 8 for w in numbers)], np.uint64)
             blobs = [pack(np.array(marks, np.uint8)), pack(np.array(sizes, np.uint32)), pack(hashes), pack(np.concatenate(stream))]
             row = _row(first, 0, -1, blobs, list(ids))
             first, held = first + 1, 0
@@ -174,7 +174,7 @@ class Bigrams:
         key, self.inverse = np.unique(before * n + chunk.stream, return_inverse=True)
         h, w = key // n, key % n
         count = np.bincount(self.inverse, chunk.weights, key.size).astype(np.uint32)
-        hh, wh = chunk.hashes[h], chunk.hashes[w] >> np.uint64(24)
+        hh, wh = chunk.hashes[h], chunk.hashes[w] >> np.uint64(16)
         split = np.where(c1[h] > hot, wh % np.maximum(1, -(-c1[h] // hot)).astype(np.uint64), 0).astype(np.uint64)
         part = (mixed(hh + split) >> np.uint64(20)) % np.uint64(n_ranges)
         self.order = np.lexsort((wh, hh, part))
@@ -210,11 +210,11 @@ def _sum_words(t: pa.Table) -> pa.Table:
 
 
 #: One row a range: statistics, the model's table (contexts, their counts and numbers of seen successors; successors,
-#: as 32-bit marks, their counts and unigram counts), and what each chunk asked.
-MODEL = "p int, stats array<long>, t_h binary, t_c1 binary, t_n binary, t_w binary, t_c binary, t_cw binary, chunks array<long>, counts array<binary>, places array<binary>"
+#: as 32-bit marks, and their counts; the successors' sum of P(w)), and what each chunk asked.
+MODEL = "p int, stats array<long>, t_h binary, t_c1 binary, t_n binary, t_w binary, t_c binary, t_lower binary, chunks array<long>, counts array<binary>, places array<binary>"
 
 
-def _sum_bigrams(t: pa.Table) -> pa.Table:
+def _sum_bigrams(t: pa.Table, uni: Unigrams) -> pa.Table:
     """Merges what chunks ask a range of bigrams."""
     rows = t.to_pylist()
     heads = [unpack(r["b0"]) for r in rows]
@@ -244,7 +244,7 @@ def _sum_bigrams(t: pa.Table) -> pa.Table:
         "t_n": pack(n),
         "t_w": pack((ws[keep] >> np.uint64(8)).astype(np.uint32)),
         "t_c": pack(total[seen]),
-        "t_cw": pack(weight),
+        "t_lower": pack(np.bincount(np.searchsorted(contexts, hs[keep]), uni(weight), contexts.size).astype(float)),
         "chunks": [r["chunk"] for r in rows],
         "counts": [pack(answer[x:y].astype(np.uint64)) for x, y in zip(cuts, cuts[1:])],
         "places": [pack(np.searchsorted(contexts, a).astype(np.uint32)) for a in heads],
@@ -265,12 +265,12 @@ class Unigrams:
         return np.where(c > 0, discounted(self.d, c) / max(1, self.total), self.left)
 
 
-def _context_sums(r: dict, uni: Unigrams, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _context_sums(r: dict, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a range's contexts: hash, count, and the sums over their seen successors of P(w | h) and of P(w)."""
-    h, c1, n, c, cw = (unpack(r[k]) for k in ("t_h", "t_c1", "t_n", "t_c", "t_cw"))
+    h, c1, n, c, lower = (unpack(r[k]) for k in ("t_h", "t_c1", "t_n", "t_c", "t_lower"))
     place = np.repeat(np.arange(h.size), n)
     own = np.bincount(place, discounted(d2, c), h.size) / np.maximum(1, c1)
-    return h, c1, own.astype(float), np.bincount(place, uni(cw), h.size).astype(float)
+    return h, c1, own.astype(float), lower.copy()
 
 
 def _backoff(c1: np.ndarray, own: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +318,7 @@ def scores(docs: DataFrame) -> DataFrame:
         c1 = chunk.counted(told.to_pylist())
         return pa.Table.from_pylist(list(chunk.bigrams(c1, ranges, hot).requests(chunk.id)), SCHEMA)
 
-    model = written(read.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask_bigrams, ROW).groupBy("p").applyInArrow(_sum_bigrams, MODEL))
+    model = written(read.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask_bigrams, ROW).groupBy("p").applyInArrow(lambda t: _sum_bigrams(t, uni), MODEL))
     release(spark)
     sums = {r.pos: r.s for r in model.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
     d2 = discounts(np.array([0, *(sums.get(k, 0) for k in range(K + 1))], float))
@@ -326,11 +326,11 @@ def scores(docs: DataFrame) -> DataFrame:
     def hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                h, c1, own, lower = _context_sums(r, uni, d2)
+                h, c1, own, lower = _context_sums(r, d2)
                 x = c1 > hot
                 yield pa.RecordBatch.from_arrays([pa.array(h[x].view(np.int64), pa.int64()), pa.array(c1[x].astype(np.int64)), pa.array(own[x].astype(float)), pa.array(lower[x].astype(float))], names=["h", "c1", "own", "lower"])
 
-    table = ["t_h", "t_c1", "t_n", "t_c", "t_cw"]
+    table = ["t_h", "t_c1", "t_n", "t_c", "t_lower"]
     # Contexts over the bound are fewer than MOST_HOT, as their counts add up to the tokens at most.
     split = model.select(*table).mapInArrow(hot_sums, "h long, c1 long, own double, lower double").groupBy("h").agg(F.sum("own").alias("own"), F.sum("lower").alias("lower")).collect()
     whole = spark.sparkContext.broadcast({np.uint64(r.h % (1 << 64)): (r.own, r.lower) for r in split})
@@ -338,7 +338,7 @@ def scores(docs: DataFrame) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                h, c1, own, lower = _context_sums(r, uni, d2)
+                h, c1, own, lower = _context_sums(r, d2)
                 for k in np.flatnonzero(c1 > hot):
                     own[k], lower[k] = whole.value[h[k]]
                 a, s = _backoff(c1, own, lower)

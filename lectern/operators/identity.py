@@ -33,22 +33,28 @@ def evidence(entries: DataFrame, files: DataFrame) -> DataFrame:
     a strong match needs.
 
     A strong match has the DOI as a substring of the text, or the title and the year or an author. Entries and
-    files meet over what such a match must share: a piece of eight characters of the DOI, or a four-letter piece of
-    one of the title's significant words (any three in ten words could be missing, so all words are offered).
+    files meet over the first eight characters of the DOI, or over the title's significant words: each is matched
+    once with the distinct words of all texts that contain it, and a file with enough of an entry's words (seven in
+    ten; all of fewer than three) is looked at. A title without significant words is offered by all its words.
     """
     e = entries.select("entry_id", doi(F.col("doi")).alias("doi"), "title", F.col("year").cast("string").alias("year"), "authors")
     t = files.select("file_id", F.lower("text").alias("raw"), title(F.col("text")).alias("body"))
     piece = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda k: F.substring(c, k, F.lit(n))))
-    by_doi = e.where("doi <> ''").select("entry_id", F.explode(F.slice(piece(F.lower("doi"), 8), 1, 1)).alias("g"))
-    of_raw = t.where(F.contains("raw", F.lit("10."))).select("file_id", F.explode(piece(F.col("raw"), 8)).alias("g"))
-    # A title without significant words is looked for by all its words; those inside it stand whole in a text.
-    offered = F.when(F.size(significant_words(F.col("title"))) > 0, significant_words(F.col("title"))).otherwise(F.split(title(F.col("title")), " "))
-    words = e.select("entry_id", F.explode(F.array_distinct(offered)).alias("w")).where("w <> ''").select("entry_id", F.substring("w", 1, 4).alias("g"))
-    of_body = t.select("file_id", F.explode(F.array_distinct(F.split("body", " "))).alias("w")).select("file_id", F.explode(piece(F.col("w"), 4)).alias("g")).distinct()
-    least = e.select("entry_id", F.greatest(F.ceil(F.size(F.array_distinct(F.transform(significant_words(F.col("title")), lambda w: F.substring(w, 1, 4)))) * 0.3), F.lit(1)).alias("least"))
-    wanted = words.select("g").distinct()
-    shared = of_body.join(wanted, "g", "left_semi").join(words.distinct(), "g").groupBy("entry_id", "file_id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = of_raw.join(by_doi, "g").select("entry_id", "file_id").unionByName(shared.join(least, "entry_id").where("n >= least").select("entry_id", "file_id")).distinct()
+    by_doi = e.where("doi like '10.%'").select("entry_id", F.substring(F.lower("doi"), 1, 8).alias("g"))
+    starts = F.regexp_extract_all("raw", F.lit(r"(?s)(?=(10\..{5}))"), F.lit(1))
+    of_raw = t.where(F.contains("raw", F.lit("10."))).select("file_id", F.explode(F.array_distinct(starts)).alias("g"))
+    long = F.size(significant_words(F.col("title"))) > 0
+    offered = F.when(long, significant_words(F.col("title"))).otherwise(F.split(title(F.col("title")), " "))
+    words = e.select("entry_id", long.alias("long"), F.size(offered).alias("n"), F.explode(offered).alias("w")).where("w <> ''")
+    words = words.groupBy("entry_id", "long", "n", "w").agg(F.count(F.lit(1)).alias("times"))
+    of_body = t.select("file_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    pieces = of_body.select("word").distinct().select("word", F.explode(piece(F.col("word"), 4)).alias("g"))
+    asked = words.select("w", F.substring("w", 1, 4).alias("g")).distinct()
+    inside = pieces.join(asked, "g").where(F.contains("word", F.col("w"))).select("word", "w").distinct()
+    held = of_body.join(inside, "word").select("file_id", "w").distinct().join(words, "w")
+    held = held.groupBy("entry_id", "file_id", "long", "n").agg(F.sum("times").alias("got"))
+    enough = F.when(~F.col("long"), F.lit(1)).when(F.col("n") < 3, F.col("n")).otherwise(F.ceil(F.col("n") * 0.7))
+    pairs = of_raw.join(by_doi, "g").select("entry_id", "file_id").unionByName(held.where(F.col("got") >= enough).select("entry_id", "file_id")).distinct()
     rows = pairs.join(e, "entry_id").join(t, "file_id")
     names = last_names(F.col("authors"))
     rows = rows.select(

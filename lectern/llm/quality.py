@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -275,6 +276,11 @@ def mine(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Mined | N
     return Mined(stems, max(0.01, float((cut + after.min()) / 2 if after.size else cut + 0.01)))
 
 
+def marks_of(texts: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each whole text, by which the scorer's sample is drawn."""
+    return np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, bound: int = LABELLED) -> Classifier:
     """Label models from the votes on all of docs(doc_id, text, ...); scorers from at most `sample` of them.
 
@@ -287,8 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_lists(batch)
-            marks = [zlib.crc32(t) | len(t) % 1024 << 32 for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([votes(statistics(t, mined)[0]) for t in texts], pa.string()), pa.array(marks, pa.int64())], names=["votes", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array([votes(statistics(t, mined)[0]) for t in texts], pa.string()), pa.array(marks_of(texts))], names=["votes", "mark"])
 
     voted = written(text_bytes(docs).mapInArrow(vote, "votes string, mark long"))
     table = voted.groupBy("votes").count().collect()
@@ -304,8 +309,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
         make, seen = Features(mined), set()
         for batch in batches:
             out = []
-            for t in byte_lists(batch):
-                mark = zlib.crc32(t) | len(t) % 1024 << 32
+            texts = byte_lists(batch)
+            for t, mark in zip(texts, marks_of(texts).tolist()):
                 if mark <= most and mark not in seen:
                     seen.add(mark)
                     s, f = make(t)

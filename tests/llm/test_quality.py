@@ -46,3 +46,16 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and kept.where("doc_id in (3, 4, 5)").count() == 0 and kept.where("text is null").count() == 1
     assert quality.judged(docs.limit(0), labels.limit(0)).count() == 0
     assert quality.judged(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_sample_is_of_all_lengths(spark, monkeypatch):
+    """A sample that is a small share of the table has the lengths of the table."""
+    rows = [(k, " ".join(f"w{k * 31 + i}" for i in range(1 + k % 100))) for k in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, fitted = [], quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda features, *rest: (sizes.append([f.size for f in features]), fitted(features, *rest))[1])
+    quality.fit(docs, sample=300)
+    n_bins = len(quality.statistics(b"")[0])
+    words = np.array(sizes[0]) - n_bins
+    assert words.size == 300
+    assert abs(words.mean() - 50.5) < 7 and abs((words < 34).mean() - 0.33) < 0.1 and abs((words > 67).mean() - 0.33) < 0.1

@@ -9,6 +9,9 @@ slots. Template words are no content. Of the slots, those go whose place is a me
 notice, advert, form or readers' comment, by their elements' names, roles, classes and ids; if the page marks an
 article or main part, slots outside it go as well.
 
+Pages of a group that alone share a class of tokens are a layout of their own. Next to the classes of all pages, each
+layout's pages are given the classes they have among themselves.
+
 Copies of one page say nothing about a template, so a group's distinct articles are what counts; with too few of
 them, nothing is deduced and the elements alone decide.
 """
@@ -216,6 +219,22 @@ def _nests(inner: dict[int, list[list[int]]], outer: dict[int, list[list[int]]])
     return True
 
 
+def layouts(pages: list[Page]) -> list[list[int]]:
+    """Disjoint sets of pages that alone share a class of tokens, on too few pages to count among all."""
+    held: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for k, p in enumerate(pages):
+        for token in {(t, "") for t in p.tags if t[0] != "\0"}.union((b.path, w) for b in p.blocks for w in b.text.split(" ")):
+            held[token].append(k)
+    sizes = Counter(tuple(x) for x in held.values() if LEAST_PAGES <= len(x) < 0.6 * len(pages))
+    out: list[list[int]] = []
+    taken: set[int] = set()
+    for own, n in sorted(sizes.items(), key=lambda x: (-len(x[0]), -x[1], x[0])):
+        if n >= LEAST_CLASS and taken.isdisjoint(own):
+            out.append(list(own))
+            taken.update(own)
+    return out
+
+
 def extract(sources: list[str]) -> list[str]:
     """The main text of each page of a group."""
     pages = [parse(s) for s in sources]
@@ -223,16 +242,22 @@ def extract(sources: list[str]) -> list[str]:
     distinct: dict[str, int] = {}
     for k, p in enumerate(pages):
         distinct.setdefault(" ".join(p.blocks[x].text for x in keep[k]), k)
-    model = [pages[k] for k in distinct.values()]
-    frame: set[tuple[str, str]] = set()
-    common: set[str] = set()
-    if len(model) >= LEAST_PAGES:
-        frame = set().union(*template_classes(model))
-        seen = Counter(t for p, own in ((pages[k], keep[k]) for k in distinct.values()) for t in {p.blocks[x].text for x in own})
-        common = {t for t, n in seen.items() if n >= 0.6 * len(model)}
+    first = list(distinct.values())
+    rule: dict[str, tuple[set[tuple[str, str]], set[str]]] = {}  # by text: template tokens and common blocks
+    if len(first) >= LEAST_PAGES:
+        for own in [list(range(len(first))), *layouts([pages[k] for k in first])]:
+            model = [first[x] for x in own]
+            frame = set().union(*template_classes([pages[k] for k in model]))
+            seen = Counter(t for k in model for t in {pages[k].blocks[x].text for x in keep[k]})
+            common = {t for t, n in seen.items() if n >= 0.6 * len(model)}
+            for k in model:
+                text = " ".join(pages[k].blocks[x].text for x in keep[k])
+                frames, commons = rule.get(text, (set(), set()))
+                rule[text] = frames | frame, commons | common
     out = []
     for p, own in zip(pages, keep):
         texts = []
+        frame, common = rule.get(" ".join(p.blocks[x].text for x in own), (set(), set()))
         for x in own:
             b = p.blocks[x]
             if frame and (b.text in common or not b.article) and all((b.path, w) in frame for w in b.text.split(" ")):

@@ -40,6 +40,16 @@ def test_template_words_go_without_marked_article():
     assert template.extract(copies)[0].startswith("Site name\nStory 0")
 
 
+def test_each_layout_has_its_template():
+    story = lambda k: f"Story {k} has its own words number {k * 17}."
+    layouts = [
+        "<body><div>Site name</div><p>{}</p><div>All rights reserved by us</div></body>",
+        "<body><section>Notes from our readers</section><p>{}</p><section>Printed on recycled paper</section></body>",
+        "<body><ul><li>Weather today and tomorrow</li></ul><p>{}</p><ul><li>Call the desk any time</li></ul></body>",
+    ]
+    assert template.extract([layouts[k % 3].format(story(k)) for k in range(24)]) == [story(k) for k in range(24)]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "<p>a</p>"), (None, "http://h/x", "<p>b"), (2, "http://h/y", None), (2, "http://h/y", ""), (3, "http://h/z", "plain & text"), (3, "http://h/z", "plain & text"), (4, "x", "<div>" * 3000 + "deep" + "&amp" + "<p>t" * 2000)]
     pages = spark.createDataFrame([(i, u, h, "t") for i, u, h in rows], "page_id long, url string, html string, text string")

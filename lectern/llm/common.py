@@ -13,7 +13,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Maps every byte that is no letter, digit or part of a non-ASCII character to a space, and A-Z to a-z.
@@ -41,10 +42,12 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, in local mode) a temporary one."""
     sc = spark.sparkContext
     set_to = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not set_to:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")
         sc.setCheckpointDir(set_to)
     return set_to
@@ -88,6 +91,28 @@ def written(df: DataFrame, bucket: tuple[int, str] | None = None) -> DataFrame:
     return spark.table(name) if bucket else spark.read.schema(schema).parquet(path)
 
 
+def packed(df: DataFrame, *keep: str) -> DataFrame:
+    """df's rows as one column `row`, beside the kept columns and two hashes of the whole row, `m1` and `m2`.
+
+    Operators add columns of their own beside `row`, whatever names df's columns have. Rows of equal hashes are
+    taken for identical (128 bits); as the hashes are plain join keys, a table is shuffled once for what follows.
+    """
+    hashed = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return df.select(*keep, F.xxhash64(*hashed).alias("m1"), F.xxhash64(F.lit(1), *hashed).alias("m2"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def numbered(df: DataFrame, *keep: str) -> DataFrame:
+    """df with all columns but the kept ones named by number, so that no name clashes with an operator's own."""
+    return df.toDF(*[c if c in keep else f"c{k}" for k, c in enumerate(df.columns)])
+
+
+def one_of_each(marked: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of marked(m1, m2, row) that kept(m1, m2) names, one of each name, unpacked."""
+    rows = marked.select("m1", "m2", "row").join(kept, ["m1", "m2"], "left_semi")
+    nth = F.row_number().over(W.partitionBy("m1", "m2").orderBy(F.lit(0)))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
+
+
 def text_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The kept columns and the text as UTF-8 bytes in column _t (null: empty)."""
     return df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("_t"))

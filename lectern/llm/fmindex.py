@@ -19,10 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ALNUM, byte_lists, session, take, written
+from .common import ALNUM, byte_lists, numbered, session, take, written
 
 SAMPLE = 16
 WINDOW = 10
@@ -203,13 +202,9 @@ def spans(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
     session(docs)
     name = F.coalesce(F.col("item_id").cast("string"), F.lit("null"))
     tests = written(benchmark.select(name.alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct())
-    size = F.octet_length("text") + 64
-    if tests.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BLOCK_BYTES:
-        blocks = [tests]
-    else:
-        total = F.sum(size).over(W.orderBy("item", "text"))
-        cut = written(tests.withColumn("block", F.floor((total - size) / BLOCK_BYTES)))
-        blocks = [cut.where(F.col("block") == b) for b in range(cut.agg(F.max("block")).first()[0] + 1)]
+    total = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    parts = 1 if total <= BLOCK_BYTES else -(-3 * total // (2 * BLOCK_BYTES))  # dealt by hash, with room to spare
+    blocks = [tests.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k) for k in range(parts)]
     out = docs
     for k, block in enumerate(blocks):
         phrases = Phrases([(r.item, r.text.encode()) for r in block.select("item", "text").collect()])
@@ -286,4 +281,5 @@ def _merged(parts: list[dict[str, int]]) -> list[dict[str, int]]:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs without any word inside a test window's occurrence; columns as in docs."""
-    return spans(docs, benchmark, prefix="_fm_").where(F.size("_fm_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = numbered(docs, "text")
+    return spans(plain, benchmark).where(F.size("spans") == 0).select(*plain.columns).toDF(*docs.columns)

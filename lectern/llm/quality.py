@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, byte_lists, session, take, text_bytes, written
+from .common import ALNUM, byte_lists, numbered, session, take, text_bytes, written
 
 #: Words of abuse, in English.
 ABUSE = frozenset(
@@ -327,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
 
 
 def scored(docs: DataFrame, classifier: Classifier, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns of each row of docs, its votes, junk_score and abuse_score (0 to 1)."""
+    """The kept columns of each row of docs, _votes, and the scores _junk and _abuse (0 to 1)."""
     session(docs)
     mined = classifier.mined
     sent = docs.sparkSession.sparkContext.broadcast({t: w.astype(np.float32) for t, w in classifier.weights.items()})
@@ -366,5 +366,6 @@ def judged(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPL
 
 def accepted(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, bound: int = LABELLED) -> DataFrame:
     """The rows of docs that the classifier, fitted on docs, does not reject; columns unchanged."""
-    out = scored(docs, fit(docs.select("doc_id", "text"), labels, sample, bound), docs.columns)
-    return out.where((F.col("_junk") <= 0.5) & (F.col("_abuse") <= 0.5)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = numbered(docs, "doc_id", "text")
+    out = scored(plain, fit(plain.select("doc_id", "text"), labels, sample, bound), plain.columns)
+    return out.where((F.col("_junk") <= 0.5) & (F.col("_abuse") <= 0.5)).select(*plain.columns).toDF(*docs.columns)

@@ -23,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import byte_lists, local_components, pieces, session, take, text_bytes, written
+from .common import byte_lists, local_components, one_of_each, packed, pieces, session, take, text_bytes, written
 from .graph import connected_components
 
 #: Reference fingerprints: pseudo-random and fixed.
@@ -218,11 +217,8 @@ def deduplicated(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFram
     Among rows with that doc_id, the one with the least hash of the whole row stays, once if it is
     repeated. Rows with a null doc_id come after all others. Columns stay as they are.
     """
-    marked = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    each = written(fingerprint_table(marked, ["doc_id", "_row"], shingle))
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("_row"))
+    marked = packed(docs, "doc_id", "text")
+    each = written(fingerprint_table(marked, ["doc_id", "m1", "m2"], shingle))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "m1", "m2")
     named = _rooted(written(each.groupBy("fp").agg(F.min(rank).alias("first"))), radius)
-    kept = named.groupBy("root").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_row"))
-    rows = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_row"] == kept["_row"]), "left_semi")
-    nth = F.row_number().over(W.partitionBy("doc_id", "_row").orderBy(F.lit(0)))
-    return rows.withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return one_of_each(marked, named.groupBy("root").agg(F.min("first").alias("k")).select("k.m1", "k.m2"))

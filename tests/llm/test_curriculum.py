@@ -55,7 +55,7 @@ def plain_mix(rows):
 ODD = [(1, "a", "x y z"), (2, "a", "p q"), (3, "b", "w " * 50), (3, "b", "w " * 50), (None, "b", "n m"), (5, None, "u v w"), (6, "c", None), (7, "c", ""), (8, "d", "z " * 9000), (9, "é", "k l m"), (10, "Z", "one two three four")]
 
 
-@pytest.mark.parametrize("ranges", [4096, 2])
+@pytest.mark.parametrize("ranges", [1 << 14, 2])
 def test_odd_rows(spark, monkeypatch, ranges):
     monkeypatch.setattr(curriculum, "ROWS_A_RANGE", ranges)
     docs = spark.createDataFrame([(*r, "v") for r in ODD], "doc_id long, source string, text string, lang string")

@@ -11,7 +11,7 @@ from lectern.llm import quality
 from .test_curriculum import plain_mix
 from .test_fmindex import plain as plain_hits
 from .test_shards import ids_of
-from .test_simhash import plain_fingerprint, plain_groups
+from .test_similar import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,8 +20,7 @@ def test_run_matches_plain_stages(spark):
     docs = pd.read_parquet(f"{SF}/documents.parquet")
     judged = quality.judged(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).toPandas()
     kept = docs[docs.doc_id.isin(judged[~judged.rejected].doc_id)].sort_values("doc_id")
-    groups = plain_groups([plain_fingerprint(t) for t in kept.text], kept.doc_id.tolist())
-    kept = kept[np.array(groups) == kept.doc_id]
+    kept = kept[kept.doc_id.isin(plain_kept(list(zip(kept.doc_id, kept.text))))]
     items = [(r.item_id, r.text) for r in pd.read_parquet(f"{SF}/benchmark.parquet").itertuples()]
     windows = {w for _, t in items for w in t.lower().split()}
     kept = kept[[not (windows & set(t.lower().split()) and plain_hits(t, items)[1]) for t in kept.text]]

@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -29,7 +30,10 @@ BINS = 64
 LEVEL = 3
 #: Symbols between documents, distinct and more than any label's reach.
 PAD = 12
+#: Rows of a range, ranges at most (larger ones beyond it), and rows drawn for each to cut them by.
 ROWS_A_RANGE = 1024
+MOST_RANGES = 1 << 16
+DRAWN = 16
 BATCH_CHARS = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -165,42 +169,65 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _order_keys(known: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Byte strings that sort as (whether there is an id, id, hash) do."""
+    out = np.zeros(len(ids), [("known", "u1"), ("id", ">u8"), ("hash", ">u8")])
+    out["known"] = known
+    for name, values in (("id", ids), ("hash", hashes)):
+        out[name] = values.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return out.view("S17")
+
+
+def ranged(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, hash, ...) with `range`, ascending with (doc_id, hash).
+
+    Ranges are cut at keys drawn by hash, some DRAWN a range, so the driver holds at most DRAWN * MOST_RANGES of them
+    (16 MB); rows without an id, or of one id, are parted by their text hash.
+    """
+    n = rows.count()
+    parts = min(MOST_RANGES, n // ROWS_A_RANGE + 1)
+    if parts == 1:
+        return rows.withColumn("range", F.lit(0))
+    rate = max(1, n // (DRAWN * parts))
+    key = [F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("hash")]
+    drawn = rows.select(*key).where(F.pmod(F.xxhash64("known", "id", "hash"), F.lit(rate)) == 0).distinct().toArrow()
+    keys = np.sort(_order_keys(*(drawn[c].to_numpy() for c in ("known", "id", "hash"))))
+    cuts = keys[np.arange(1, parts) * keys.size // parts] if keys.size >= parts else keys
+    sent = rows.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def place(known: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(sent.value, _order_keys(known.to_numpy(), ids.to_numpy(), hashes.to_numpy()), side="right"))
+
+    return rows.withColumn("range", place(*key))
+
+
 def successors(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) as (_range, _extra, doc_id, text), such that each range's rows in order of (_extra, doc_id,
+    """docs(doc_id, text) as (range, extra, doc_id, text), such that each range's rows in order of (extra, doc_id,
     text hash, text) are consecutive documents, followed by an extra copy of the next range's first.
 
-    The order of all rows is by doc_id, null first, repeated ids by text; the first follows the last. Ranges are cut
-    at quantiles of doc_id, so the texts move once and no task holds more than its ranges.
+    The order of all rows is by doc_id, null first, rows of one id by text hash, length and text; the first follows
+    the last. The texts move once, and no task holds more than its ranges.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.alias("_place"))
-    n = rows.count()
-    parts = max(1, n // ROWS_A_RANGE)
-    cuts = sorted(set(rows.where("doc_id is not null").approxQuantile("_place", [k / parts for k in range(1, parts)], min(0.01, max(1e-4, 0.1 / parts))))) if parts > 1 else []
-    if cuts:
-        rows = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_place", outputCol="_range").transform(rows)
-    else:
-        rows = rows.withColumn("_range", F.lit(0.0))
-    rows = rows.withColumn("_hash", F.xxhash64("text"))
-    key = F.struct("_place", "_hash", F.length("text").alias("_n"))
-    firsts = written(rows.groupBy("_range").agg(F.min(key).alias("f")))
-    order = W.orderBy("_range")
-    before = firsts.withColumn("to", F.lag("_range").over(order))
-    last = firsts.agg(F.max("_range")).first()[0]
-    before = before.select(F.coalesce("to", F.lit(last)).alias("to"), F.col("f._place").alias("_place"), F.col("f._hash").alias("_hash"), F.col("f._n").alias("_n"))
-    extra = rows.withColumn("_n", F.length("text")).join(before, ["_place", "_hash", "_n"]).groupBy("to").agg(F.min(F.struct("text", "doc_id", "_place", "_hash")).alias("x"))
-    extra = extra.select(F.col("to").alias("_range"), F.lit(1).alias("_extra"), "x.doc_id", "x.text", "x._place", "x._hash")
-    both = rows.select("_range", F.lit(0).alias("_extra"), "doc_id", "text", "_place", "_hash").unionByName(extra)
-    return both.repartition("_range").sortWithinPartitions("_range", "_extra", "_place", "_hash", F.length("text"), "text").select("_range", "_extra", "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = ranged(rows.withColumn("hash", F.xxhash64("text"))).withColumn("size", F.length("text"))
+    firsts = written(rows.groupBy("range").agg(F.min(F.struct("doc_id", "hash", "size")).alias("f")))
+    last = firsts.agg(F.max("range")).first()[0]
+    # A row a range, MOST_RANGES at most.
+    before = firsts.withColumn("to", F.coalesce(F.lag("range").over(W.orderBy("range")), F.lit(last)))
+    before = F.broadcast(before.select("to", F.col("f.doc_id").alias("id"), F.col("f.hash").alias("h"), F.col("f.size").alias("n")))
+    same = rows["doc_id"].eqNullSafe(before["id"]) & (rows["hash"] == before["h"]) & (rows["size"] == before["n"])
+    extra = rows.join(before, same).groupBy("to").agg(F.min(F.struct("text", "doc_id", "hash")).alias("x"))
+    extra = extra.select(F.col("to").alias("range"), F.lit(1).alias("extra"), "x.doc_id", "x.hash", F.length("x.text").alias("size"), "x.text")
+    both = rows.withColumn("extra", F.lit(0)).unionByName(extra)
+    return both.repartition("range").sortWithinPartitions("range", "extra", "doc_id", "hash", "size", "text").select("range", "extra", "doc_id", "text")
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of docs.
 
     The edited text is the text with its last half, rounded down, replaced by as much of the next document's
-    beginning, in ascending order of doc_id (null first, repeated ids by text); the first follows the last. Null
+    beginning, in ascending order of doc_id (null first, rows of one id by text hash); the first follows the last. Null
     texts are empty; a lone document follows itself; no rows give no rows; other columns are ignored.
     """
     session(docs)
@@ -231,4 +258,4 @@ def compared(docs: DataFrame) -> DataFrame:
         if held:
             raise ValueError("a range without its extra row")
 
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -394,33 +394,39 @@ def candidate_classes(rows: DataFrame) -> DataFrame:
     classes = frequent.groupBy(*BY, "vector", "n").agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(place)).alias("t")).where(F.col("size") >= LEAST_CLASS)
     order = F.struct((-F.col("n")).alias("a"), (-F.col("size")).alias("b"), F.col("t.token").alias("tokens"))
     named = classes.groupBy(*BY).agg(F.array_sort(F.collect_list(order)).alias("c"))
-    return written(named.join(near, BY).select(*BY, "runs", F.col("c.tokens").alias("classes")))
+    return named.join(near, BY).select(*BY, "runs", F.col("c.tokens").alias("classes"))
 
 
 def templates(pages: DataFrame, elements: bool = True) -> DataFrame:
     """(host, layout, tokens array<long>, main, runs) of every layout of pages(host, html) that has a template."""
     rows = distinct_pages(pages, elements)
-    classes = candidate_classes(rows)
+    lists = pa.list_(pa.list_(pa.int64()))
+    names = [*BY, "runs", "classes", "bad", "paths", "free"]
+    kinds = [pa.string(), pa.int64(), pa.bool_(), lists, pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["host", "layout", "bad", "paths", "free"], [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
         held: dict[tuple, tuple] = {}
-        out = lambda: _flushed(held, names, kinds, lambda k, v: (*k, sorted(v[0]), list(v[1]), list(v[1].values())))
+        out = lambda: _flushed(held, names, kinds, lambda k, v: (*k, v[0], v[1], sorted(v[2]), list(v[3]), list(v[3].values())))
         for batch in batches:
-            for host, layout, tokens, paths, free, own in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                bad, boxes = held.setdefault((host, layout), (set(), Counter()))
-                bad.update((a << 32) + b for a, b in page_faults(tokens, own))
-                boxes.update(dict(zip(paths, free)))
+            tokens, paths, free, runs, classes = batch.columns[2:]
+            for k, key in enumerate(zip(*(batch.column(i).to_pylist() for i in range(2)))):
+                if key not in held:
+                    held[key] = runs[k].as_py(), classes[k].as_py(), set(), Counter()
+                _, own, bad, boxes = held[key]
+                bad.update((a << 32) + b for a, b in page_faults(tokens[k].values.to_numpy().tolist(), own))
+                boxes.update(dict(zip(paths[k].as_py(), free[k].as_py())))
             if len(held) > HELD // 100:
                 yield out()
         yield out()
 
-    seen = rows.select(*BY, "tokens", "paths", "free").join(classes.select(*BY, "classes"), BY)
-    found = written(seen.select(*BY, "tokens", "paths", "free", "classes").mapInArrow(look, "host string, layout long, bad array<long>, paths array<string>, free array<long>"))
+    seen = rows.select(*BY, "tokens", "paths", "free").join(candidate_classes(rows), BY)
+    said = "host string, layout long, runs boolean, classes array<array<long>>, bad array<long>, paths array<string>, free array<long>"
+    found = seen.select(*BY, "tokens", "paths", "free", "runs", "classes").mapInArrow(look, said)
 
-    def decide(own: pa.Table, said: pa.Table) -> pa.Table:
-        first, bad, boxes = own.to_pylist()[0], set(), Counter()
-        for r in said.to_pylist():
+    def decide(t: pa.Table) -> pa.Table:
+        told = t.to_pylist()
+        first, bad, boxes = told[0], set(), Counter()
+        for r in told:
             bad.update((x >> 32, x & 0xFFFFFFFF) for x in r["bad"])
             boxes.update(dict(zip(r["paths"], r["free"])))
         tokens = sorted(t for k in chosen(first["classes"], bad) for t in first["classes"][k])
@@ -428,8 +434,8 @@ def templates(pages: DataFrame, elements: bool = True) -> DataFrame:
         kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.bool_()]
         return pa.table([pa.array([v], k) for v, k in zip(row, kinds)], names=["host", "layout", "tokens", "main", "runs"])
 
-    # A layout has one row a task in `found`, and one in `classes`.
-    return written(classes.groupBy(*BY).cogroup(found.groupBy(*BY)).applyInArrow(decide, "host string, layout long, tokens array<long>, main string, runs boolean"))
+    # A layout has some rows a task in `found`.
+    return written(found.groupBy(*BY).applyInArrow(decide, "host string, layout long, tokens array<long>, main string, runs boolean"))
 
 
 def main_text(pages: DataFrame, elements: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import doi, last_names, significant_words, title, title_similarity, valid_doi
+from .relational import histogram
 
 #: Least similarity for a search by title, and for a look-up by DOI.
 SEARCH_THRESHOLD, LOOKUP_THRESHOLD = 0.9, 0.5
@@ -81,3 +82,11 @@ def local_check(entries: DataFrame, files: DataFrame) -> DataFrame:
         F.when(~F.coalesce(valid_doi(F.col("doi")), F.lit(False)), "skipped").when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").when(F.col("expected"), "mismatch").otherwise("missing")
     )
     return rows.select("entry_id", status.alias("status"))
+
+
+STATUSES = ["matched", "missing", "mismatch", "ambiguous", "skipped"]
+
+
+def local_summary(result: DataFrame) -> DataFrame:
+    """One row: entries in all and by status."""
+    return histogram(result, "status", STATUSES)

@@ -66,6 +66,14 @@ def decode_cursor(cursor: str, *names: str) -> dict:
         raise ValueError("invalid cursor") from e
 
 
+def offset_of(cursor: str | None) -> int | None:
+    """The offset of a cursor of ranked results; None for none and for a cursor of another kind."""
+    try:
+        return int(decode_cursor(cursor, "offset")["offset"]) if cursor else None
+    except ValueError:
+        return None
+
+
 def cursor_column(created_at: Column, id_: Column) -> Column:
     return F.base64(F.to_json(F.struct(created_at.alias("createdAt"), id_.alias("id"))).cast("binary"))
 

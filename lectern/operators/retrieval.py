@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import title_similarity
-from .identity import LOOKUP_THRESHOLD, SEARCH_THRESHOLD
+from ..functions.text import file_stem, title_similarity
+from .identity import LOOKUP_THRESHOLD, SEARCH_THRESHOLD, best_title
 
 #: Stages in order; breaker trip and cooldown; retries.
 STAGES = ("cache", "unpaywall", "semantic-scholar", "arxiv", "authenticated")
@@ -51,28 +54,38 @@ def retryable(status: Column) -> Column:
     return status.isNull() | (status == 429) | (status >= 500)
 
 
+def breaker_step(streak: int, until: int, ts_ms: int, outcome: str) -> tuple[int, int, bool]:
+    """The breaker after an event, and whether the event was let through; until is -1 while it is closed."""
+    if 0 <= until and ts_ms < until:
+        return streak, until, False
+    hit, probe = outcome == "429", until >= 0
+    streak = streak + 1 if hit else 0
+    return streak, ts_ms + COOLDOWN_MS if hit and (probe or streak >= TRIP) else -1, True
+
+
 def breaker(events: DataFrame) -> DataFrame:
-    """events(source, seq, ts_ms, outcome) with `allowed` and `state` after each: closed, open or half-open.
+    """events(source, seq, ts_ms, outcome) with `allowed` and `state` after each: closed or open.
 
     Three answers of 429 in a row open a source's breaker for the cooldown, in which nothing is asked; then one probe
-    may go: another 429 opens it again, any other answer closes it. A source's events fold in order inside the JVM.
+    may go: another 429 opens it again, any other answer closes it. A source's events stream in order through one
+    task, which keeps two numbers; no source is gathered.
     """
-    one = F.struct("seq", "ts_ms", "outcome")
-    start = F.struct(F.lit(0).alias("streak"), F.lit(None).cast("long").alias("until"), F.array().cast("array<struct<seq:bigint,allowed:boolean,state:string>>").alias("out"))
+    kinds = {c: t for c, t in events.dtypes if c in ("source", "seq")}
 
-    def step(acc: Column, e: Column) -> Column:
-        blocked = acc["until"].isNotNull() & (e["ts_ms"] < acc["until"])
-        probe = acc["until"].isNotNull() & ~blocked
-        hit = e["outcome"] == "429"
-        streak = F.when(blocked, acc["streak"]).when(hit, acc["streak"] + 1).otherwise(0)
-        opens = ~blocked & hit & (probe | (streak >= TRIP))
-        until = F.when(blocked, acc["until"]).when(opens, e["ts_ms"] + COOLDOWN_MS)
-        state = F.when(until.isNotNull(), "open").otherwise("closed")
-        said = F.struct(e["seq"].cast("long").alias("seq"), (~blocked).alias("allowed"), state.alias("state"))
-        return F.struct(streak.cast("int").alias("streak"), until.cast("long").alias("until"), F.concat(acc["out"], F.array(said)).alias("out"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, streak, until = object(), 0, -1
+        for batch in batches:
+            allowed, state = [], []
+            for source, ts, outcome in zip(batch["source"], batch["ts_ms"], batch["outcome"]):
+                if source != at:
+                    at, streak, until = source, 0, -1
+                streak, until, ok = breaker_step(streak, until, ts, outcome)
+                allowed.append(ok)
+                state.append("open" if until >= 0 else "closed")
+            yield batch[["source", "seq"]].assign(allowed=allowed, state=state)
 
-    folded = events.groupBy("source").agg(F.sort_array(F.collect_list(one)).alias("e"))
-    return folded.select("source", F.explode(F.aggregate("e", start, step)["out"]).alias("o")).select("source", "o.*")
+    rows = events.select("source", "seq", F.col("ts_ms").cast("long"), "outcome").repartition("source").sortWithinPartitions("source", "seq")
+    return rows.mapInPandas(run, f"source {kinds['source']}, seq {kinds['seq']}, allowed boolean, state string")
 
 
 def import_summary(results: DataFrame) -> DataFrame:
@@ -84,3 +97,60 @@ def import_summary(results: DataFrame) -> DataFrame:
         F.count_if(F.col("skipped")).alias("skipped"),
         F.count_if(F.col("source").isNull() & ~F.col("skipped")).alias("failed"),
     )
+
+
+def import_issues(results: DataFrame) -> DataFrame:
+    """(kind, doi, bibtex_key, reason) of the entries of results(doi, bibtex_key, source, skipped, reason) that were
+    skipped or failed."""
+    kind = F.when(F.col("skipped"), "skipped").when(F.col("source").isNull(), "failed")
+    return results.withColumn("kind", kind).where("kind is not null").select("kind", "doi", "bibtex_key", "reason")
+
+
+def cached(citations: DataFrame, files: DataFrame) -> DataFrame:
+    """(doi, path) of citations whose PDF is there: at its recorded path, else under its file stem in files(path, name)."""
+    stem = F.concat(file_stem(F.col("bibtex_key"), F.col("doi")), F.lit(".pdf"))
+    rows = citations.select("doi", "pdf_path", stem.alias("name"))
+    recorded = rows.join(files.select(F.col("path").alias("pdf_path")).distinct(), "pdf_path", "left_semi").select("doi", F.col("pdf_path").alias("path"))
+    named = rows.join(recorded, "doi", "left_anti").join(files.groupBy("name").agg(F.min("path").alias("path")), "name").select("doi", "path")
+    return recorded.unionByName(named)
+
+
+def arxiv_query(title: Column, broad: bool = False) -> Column:
+    """A title as a phrase of arXiv's search: among titles, or (broad) anywhere and without punctuation."""
+    text = F.regexp_replace(title, r"[^a-zA-Z0-9 ]+" if broad else '"', " ")
+    phrase = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.concat(F.lit('all:"' if broad else 'ti:"'), phrase, F.lit('"'))
+
+
+def arxiv_id(url: Column) -> Column:
+    """An arXiv id in a URL, without its version."""
+    return F.nullif(F.regexp_extract(url, r"(?i)arxiv\.org/(?:abs|pdf)/(.+?)(?:v\d+)?(?:\.pdf)?(?:[?#].*)?\z", 1), F.lit(""))
+
+
+def two_step(strict: DataFrame, broad: DataFrame) -> DataFrame:
+    """(doi, step, pos, actual, similarity) of the best title for each DOI among the strict search's answers or, where that
+    has none, the broad one's; five of each at most are looked at. Both are (doi, pos, expected, actual)."""
+    some = lambda rows, step: rows.where("pos < 5").withColumn("step", F.lit(step))
+    first = some(strict, "strict")
+    answers = first.unionByName(some(broad, "broad").join(first.select("doi").distinct(), "doi", "left_anti").select(*first.columns))
+    return best_title(answers, "doi").select("doi", "step", "pos", "actual", "similarity")
+
+
+def tickets(requests: DataFrame, interval_ms: int) -> DataFrame:
+    """requests(source, seq, ts_ms) with `start_ms`: a serial limiter lets one request of a source start an interval.
+
+    The n-th starts no sooner than an interval after the one before: the running maximum of ts - n * interval, plus
+    n * interval.
+    """
+    w = W.partitionBy("source").orderBy("seq")
+    rows = requests.withColumn("n", F.row_number().over(w) - 1)
+    head = F.max(F.col("ts_ms") - F.col("n") * interval_ms).over(w)
+    return rows.withColumn("start_ms", head + F.col("n") * interval_ms).drop("n")
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """events(entry_id, seq, stage, final) with `settled`, true exactly once an entry: at its first final event, if it has
+    one; what follows that event is dropped."""
+    first = F.min(F.when(F.col("final"), F.col("seq"))).over(W.partitionBy("entry_id"))
+    rows = events.withColumn("_end", first).where("_end is null or seq <= _end")
+    return rows.withColumn("settled", F.coalesce(F.col("seq") == F.col("_end"), F.lit(False))).drop("_end", "final")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.porter import WORD, plain, plain_terms, stem, stemmed_terms, terms
 
 K1, B = 1.2, 0.75
+#: Parts that each term's postings are dealt to.
+SALTS = 8
 #: Positions of a text's columns lie this far apart, so that no phrase spans two.
 COLUMN_GAP = 1 << 40
 
@@ -82,18 +84,26 @@ def _gain(f: Column, holders: Column, n: Column, length: Column, avg: Column) ->
     return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / avg))
 
 
-def candidates(queries: DataFrame, postings: DataFrame, lengths: DataFrame, key: str, n: int = 10) -> DataFrame:
+def candidates(queries: DataFrame, postings: DataFrame, lengths: DataFrame, key: str, n: int = 10, within: DataFrame | None = None) -> DataFrame:
     """For each of queries(query_id, terms array<string>), the n rows of best rank with any of its terms.
 
-    One equi-join on terms serves all queries; ranks are summed before they are compared.
+    One equi-join on terms serves all queries; ranks are summed before they are compared. A term's postings are dealt
+    to SALTS parts, so that a common term does not meet its queries in one task. within(query_id, key) names the rows
+    that some queries are about; the others are about all.
     """
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("avg"))
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     own = postings.join(asked.select("term").distinct(), "term", "left_semi")
     holders = own.groupBy("term").agg(F.count(F.lit(1)).alias("holders"))
-    scored = own.join(holders, "term").join(lengths, key).join(F.broadcast(stats))
-    scored = scored.select("term", key, (-_gain(F.size("positions"), F.col("holders"), F.col("n"), F.col("n_terms"), F.col("avg"))).alias("r"))
-    ranked = scored.join(asked, "term").groupBy("query_id", key).agg(F.sum("r").alias("rank"))
+    spread = asked.join(holders, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = own.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    pairs = dealt.join(spread, ["term", "salt"])
+    if within is not None:
+        only = within.select("query_id", key, F.lit(True).alias("_in"))
+        about = within.select("query_id").distinct().withColumn("_some", F.lit(True))
+        pairs = pairs.join(about, "query_id", "left").join(only, ["query_id", key], "left").where("_some is null or _in")
+    gain = _gain(F.size("positions"), F.col("holders"), F.col("n"), F.col("n_terms"), F.col("avg"))
+    ranked = pairs.join(lengths, key).join(F.broadcast(stats)).groupBy("query_id", key).agg(F.sum(-gain).alias("rank"))
     nth = F.row_number().over(W.partitionBy("query_id").orderBy("rank", key))
     return ranked.withColumn("nth", nth).where(F.col("nth") <= n)
 
@@ -128,19 +138,37 @@ def snippets(text: Column, phrases: list[list[str]], size: int = 12, stemmed: bo
     return cut(text)
 
 
-def search(citations: DataFrame, chunks: DataFrame, query: str, limit: int = 50, offset: int = 0, stemmed: bool = True, index=None) -> DataFrame:
-    """(id, rank) of citations by the better of their metadata's and their best passage's rank, one page.
+def ranked(citations: DataFrame, chunks: DataFrame, query: str, stemmed: bool = True, index=None) -> DataFrame:
+    """(id, rank) of citations by the better of their metadata's and their best passage's rank.
 
-    index: (metadata postings, lengths, passage postings, lengths) as build_index wrote them; built here if None.
+    index: (metadata postings, lengths, passage postings, lengths) as they are kept; built here if None.
     """
-    from .relational import SEARCHED, hits_of, offset_page
+    from .relational import SEARCHED, hits_of
 
     meta_p, meta_l, body_p, body_l = index or (*build_index(citations, "id", list(SEARCHED), stemmed), *build_index(chunks, "chunk_id", ["text"], stemmed))
     phrases = parse_query(query, stemmed)
     meta = bm25(meta_p, meta_l, "id", phrases).select(F.col("id").alias("citation_id"), "rank")
-    body = bm25(body_p, body_l, "chunk_id", phrases).join(chunks.select("chunk_id", "citation_id"), "chunk_id").select("citation_id", "rank")
-    ranked = hits_of(meta, body).withColumnRenamed("citation_id", "id")
-    return offset_page(ranked, limit, offset)
+    body = bm25(body_p, body_l.select("chunk_id", "n_terms"), "chunk_id", phrases).join(chunks.select("chunk_id", "citation_id"), "chunk_id").select("citation_id", "rank")
+    return hits_of(meta, body).withColumnRenamed("citation_id", "id")
+
+
+def search(citations: DataFrame, chunks: DataFrame, query: str, limit: int = 50, offset: int = 0, stemmed: bool = True, index=None) -> DataFrame:
+    """One page of ranked citations."""
+    from .relational import offset_page
+
+    return offset_page(ranked(citations, chunks, query, stemmed, index), limit, offset)
+
+
+def matches(chunks: DataFrame, index: tuple[DataFrame, DataFrame], query: str, citations: DataFrame, n: int = 3, stemmed: bool = True) -> DataFrame:
+    """(citation_id, matches array<struct<chunk_ordinal, section_path, snippet>>): the n best passages of some citations(citation_id)."""
+    from .relational import best_passages
+
+    phrases = parse_query(query, stemmed)
+    own = chunks.join(citations, "citation_id", "left_semi")
+    hits = bm25(index[0], index[1].select("chunk_id", "n_terms"), "chunk_id", phrases).join(own.select("chunk_id", "citation_id"), "chunk_id")
+    best = best_passages(hits, n).join(own.select("chunk_id", "ordinal", "section_path", "text"), "chunk_id")
+    one = F.struct("nth", F.struct(F.col("ordinal").alias("chunk_ordinal"), "section_path", snippets(F.col("text"), phrases, stemmed=stemmed).alias("snippet")).alias("m"))
+    return best.groupBy("citation_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["m"]).alias("matches"))
 
 
-__all__ = ["bm25", "build_index", "candidates", "parse_query", "plain", "search", "snippets", "stem"]
+__all__ = ["bm25", "build_index", "candidates", "matches", "parse_query", "plain", "ranked", "search", "snippets", "stem"]

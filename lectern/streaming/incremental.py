@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.retrieval import COOLDOWN_MS, TRIP
+from ..operators.retrieval import breaker_step
 from ..operators.store import Snapshots, replace_chunks
 
 
@@ -19,12 +20,8 @@ def breaker_stream(events: DataFrame) -> DataFrame:
         streak, until = state.get if state.exists else (0, -1)
         out = []
         for e in pd.concat(list(batches)).sort_values("seq").itertuples():
-            blocked = 0 <= until and e.ts_ms < until
-            if not blocked:
-                hit, probe = e.outcome == "429", until >= 0
-                streak = streak + 1 if hit else 0
-                until = e.ts_ms + COOLDOWN_MS if hit and (probe or streak >= TRIP) else -1
-            out.append((key[0], e.seq, not blocked, "open" if until >= 0 else "closed"))
+            streak, until, allowed = breaker_step(streak, until, e.ts_ms, e.outcome)
+            out.append((key[0], e.seq, allowed, "open" if until >= 0 else "closed"))
         state.update((streak, until))
         yield pd.DataFrame(out, columns=["source", "seq", "allowed", "state"])
 
@@ -32,10 +29,18 @@ def breaker_stream(events: DataFrame) -> DataFrame:
 
 
 def follow_passages(passages: DataFrame, store: Snapshots, checkpoint: str):
-    """Starts a query that replaces each batch's manifestations in the store's chunks; it stops when input is used up."""
+    """Starts a query that replaces each batch's manifestations in the store's chunks; it stops when input is used up.
+
+    A manifestation arrives whole in one batch; of rows that repeat a passage the greatest stays. Only the touched
+    buckets of the table are written.
+    """
 
     def put(batch: DataFrame, _: int) -> None:
-        newest = batch.dropDuplicates(["manifestation_id", "ordinal"])
-        store.commit(chunks=replace_chunks(store.read("chunks"), newest) if store.version() else newest)
+        value = F.struct(*[c for c in batch.columns if c not in ("manifestation_id", "ordinal")])
+        newest = batch.groupBy("manifestation_id", "ordinal").agg(F.max(value).alias("v")).select("manifestation_id", "ordinal", "v.*").select(*batch.columns)
+        if store.has("chunks"):
+            store.change({"chunks": newest.select("manifestation_id")}, lambda _, old: replace_chunks(old, newest))
+        else:
+            store.commit(keys={"chunks": "manifestation_id"}, chunks=newest)
 
     return passages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,8 +1,11 @@
 """Layout reading, and the library from import to verdict."""
 
+import pytest
+
 from lectern.api import Library
 from lectern.operators import layout as L
 from lectern.operators import repair as R
+from lectern.operators import store
 
 PAGES = (
     "arXiv:2101.00001v1\n        A Study of Robust Things\n           in Two Lines\n  Ann Lee1,*   Bo Ray2\n\n I. I NTRODUCTION            B. Sensor Setup of Para-\nThis is prose of the left.   meters\n"
@@ -51,8 +54,35 @@ def test_library(spark, tmp_path):
     page = lib.read_content("10.1234/cats", None, 10)
     assert page["text"] == "# Intro\nTh" and lib.read_content("10.1234/cats", page["next_cursor"], 10)["text"] == "e cat sat "
     assert lib.read_content("10.1234/dogs") is None
-    quotes = spark.createDataFrame([(1, "cat SAT on the mat"), (2, "never seen in here")], "quote_id long, quote string")
-    assert {r.quote_id: r.verdict for r in lib.verify_quotes(quotes).collect()} == {1: "exact", 2: "not-found"}
+    quotes = spark.createDataFrame([(1, "cat SAT on the mat", None), (2, "never seen in here", None), (3, "mat and slept. ## More All", None), (4, "cat sat on a mat and slept", "10.1234/cats"), (5, "cat sat on the mat", "10.1234/dogs"), (6, "cat sat on the mat", "10.1/no"), (7, "tiny", None)], "quote_id long, quote string, doi string")
+    said = {r.quote_id: r for r in lib.verify_quotes(quotes).collect()}
+    assert {k: (r.status, r.verdict) for k, r in said.items()} == {1: ("ok", "exact"), 2: ("ok", "not-found"), 3: ("ok", "exact"), 4: ("ok", "close-match"), 5: ("no-markdown", None), 6: ("unknown-doi", None), 7: ("quote-too-short", None)}
+    assert said[1].matches[0].doi == "10.1234/cats" and said[1].matches[0].section_path == ["Intro"] and said[1].matches[0].chunk_ordinal == 0
+    assert said[3].matches[0].section_path is None and "slept. ## more all" in said[3].matches[0].snippet
+    assert said[4].matches[0].similarity == 0.86 and said[4].matches[0].section_path == ["Intro"]
+    assert lib.index_summary(texts).first().asDict() == {"scanned": 2, "indexed": 0, "unchanged": 1, "missing_markdown": 1, "errors": 1}
+    first = lib.search_page("cats", limit=1)
+    assert [r["doi"] for r in first["results"]] == ["10.1234/cats"] and first["results"][0]["matches"][0]["snippet"].startswith("# Intro\nThe <b>cat</b> sat") and first["next_cursor"] is None
+    walk = lib.search_page("on", limit=1)
+    assert [r["doi"] for r in walk["results"]] == ["10.1234/dogs"] and walk["next_cursor"]
+    assert [r["doi"] for r in lib.search_page("on", walk["next_cursor"], 1)["results"]] == ["10.1234/cats"]
+    rescue = lib.search_page("n dog")
+    assert [r["doi"] for r in rescue["results"]] == ["10.1234/dogs"] and rescue["results"][0]["matches"] == []
+    changed = spark.createDataFrame([("10.1234/cats", "# Intro\nThe ferret sat.")], "doi string, text string")
+    before = lib.store.state()["citations"]
+    assert lib.index(changed) == 1 and lib.store.state()["citations"] == before
+    assert [r.doi for r in lib.search_citations("mats").collect()] == [] and [r.doi for r in lib.search_citations("ferrets").collect()] == ["10.1234/cats"]
+    lib.record_downloads(spark.createDataFrame([(1, "10.1234/cats", "unpaywall", "/lib/pdf/k.pdf", "open-access"), (2, "10.1234/dogs", "arxiv", None, None), (3, "10.9/none", "arxiv", None, None)], "seq long, doi string, source string, pdf_path string, access_type string"))
+    assert lib.get_citation("10.1234/cats").first().pdf_path == "/lib/pdf/k.pdf" and lib.get_citation("10.1234/cats").first().access_type == "open-access"
+    assert [(r.source, r.success) for r in lib.retrieval_log("10.1234/dogs").collect()] == [("arxiv", False)]
+    found = lib.texts_of(spark.createDataFrame([("/lib/markdown/k.md", "# New")], "path string, text string"))
+    assert [tuple(r) for r in found.collect()] == [("10.1234/cats", "# New")]
+    stale = lib.store.version()
+    lib.set_access("10.1234/cats", "subscription")
+    with pytest.raises(store.Conflict):
+        lib.store.commit(base=stale, chunks=lib.table("chunks"))
+    done = lib.reextract(spark.createDataFrame([("10.1234/cats", "x"), ("10.1234/dogs", None)], "doi string, content string"), lambda s: s.map(lambda x: x and f"# {x} text"))
+    assert done.first().asDict() == {"processed": 2, "extracted": 1, "failed": 1, "indexed": 1}
     lib.set_status("10.1234/dogs", "verified")
     assert lib.get_citation("10.1234/dogs").first().verification_status == "verified"
     assert lib.list_citations(limit=1).first().next_cursor

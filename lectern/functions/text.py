@@ -18,6 +18,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it (also inside its own functions of elements)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")

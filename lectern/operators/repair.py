@@ -1,5 +1,5 @@
-"""Repairing extracted Markdown, pass by pass. Each pass is a text -> text column function; those that follow state
-from line to line fold over the lines inside the JVM."""
+"""Repairing extracted Markdown, pass by pass. Each pass is a text -> text column function; passes that look at single lines
+are array functions inside the JVM."""
 
 from __future__ import annotations
 
@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let
+from . import layout as layouts
+from . import passes
+from .layout import _open
+
 FENCE = r"\A\s*(```|~~~)"
 
 
@@ -18,21 +23,22 @@ def artifacts(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\\x0f", "\u03b5"), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
 
 
-def _guarded(text: Column, keep) -> Column:
-    """Lines for which keep(line) holds, or that stand in a fence or display math."""
-    start = F.struct(F.lit(False).alias("fence"), F.lit(False).alias("math"), F.array().cast("array<string>").alias("out"))
+def outside(lines: Column) -> Column:
+    """array<struct<x, free>>: each line, and whether it stands outside fences and display math and is no mark of them, which
+    is when the marks before it are even in number."""
+    fence = lambda x: x.rlike(FENCE)
+    math = lambda x: ~fence(x) & (F.trim(x) == "$$")
+    places = lambda a, test: F.filter(F.transform(a, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+    odd = lambda marks, i: F.size(F.filter(marks, lambda m: m < i)) % 2 == 1
+    free = lambda s, x, i: ~(fence(x) | math(x) | odd(s["fences"], i) | odd(s["maths"], i))
+    known = lambda a: F.struct(a.alias("lines"), places(a, fence).alias("fences"), places(a, math).alias("maths"))
+    return let(lines, lambda a: let(known(a), lambda s: F.transform(s["lines"], lambda x, i: F.struct(x.alias("x"), free(s, x, i).alias("free")))))
 
-    def step(a: Column, x: Column) -> Column:
-        fence = x.rlike(FENCE)
-        math = ~fence & (F.trim(x) == "$$")
-        ok = fence | math | a["fence"] | a["math"] | keep(x)
-        return F.struct(
-            F.when(fence, ~a["fence"]).otherwise(a["fence"]).alias("fence"),
-            F.when(math, ~a["math"]).otherwise(a["math"]).alias("math"),
-            F.when(ok, F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"),
-        )
 
-    return F.array_join(F.aggregate(F.split(text, "\n", -1), start, step)["out"], "\n")
+def _guarded(text: Column, keep) -> Column:
+    """Lines for which keep(line) holds, or that stand in a fence or display math."""
+    kept = F.filter(outside(F.split(text, "\n", -1)), lambda r: ~r["free"] | keep(r["x"]))
+    return F.array_join(F.transform(kept, lambda r: r["x"]), "\n")
 
 
 def glyph_garble(text: Column) -> Column:
@@ -48,13 +54,9 @@ def glyph_garble(text: Column) -> Column:
 
 def blank_runs(text: Column) -> Column:
     """At most one blank line at a time."""
-    start = F.struct(F.lit(False).alias("blank"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        blank = ~x.rlike(r"(?U)\S")
-        return F.struct(blank.alias("blank"), F.when(blank & a["blank"], a["out"]).otherwise(F.concat(a["out"], F.array(x))).alias("out"))
-
-    return F.array_join(F.aggregate(F.split(text, "\n", -1), start, step)["out"], "\n")
+    blank = lambda x: ~x.rlike(r"(?U)\S")
+    once = lambda a: F.filter(a, lambda x, i: ~(blank(x) & (i > 0) & blank(F.get(a, F.greatest(i - 1, F.lit(0))))))
+    return F.array_join(let(F.split(text, "\n", -1), once), "\n")
 
 
 def running_headers(layouts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -76,23 +78,11 @@ def without_headers(documents: DataFrame, headers: DataFrame, key: str = "doc_id
     own = headers.groupBy(key).agg(F.sort_array(F.collect_list("header")).alias("_h"))
 
     def strip(text: str, found: list[str]) -> str:
-        marks = [r"\s+".join(map(re.escape, h.split())) for h in found]
-        patterns = [re.compile(rf"\d{{1,4}}\s+{m}|{m}\s+\d{{1,4}}") for m in marks]
-        out, fence, math = [], False, False
-        for line in text.split("\n"):
-            opens = re.match(r"\s*(```|~~~)", line)
-            turns = not opens and line.strip() == "$$"
-            fence, math = fence ^ bool(opens), math ^ turns
-            if not (opens or turns or fence or math or re.match(r"\s*(#{1,6}\s|\|)", line)):
-                new = line
-                for p in patterns:
-                    new = p.sub(" ", new)
-                if new != line:
-                    line = re.sub(r"[ \t]{2,}", " ", new).strip()
-                    if not line:
-                        continue
-            out.append(line)
-        return "\n".join(out)
+        names = "|".join(r"\s+".join(map(re.escape, h.split())) for h in sorted(found, key=len, reverse=True))
+        numbered = re.compile(rf"\d{{1,4}}\s+(?:{names})|(?:{names})\s+\d{{1,4}}")
+        lines = text.split("\n")
+        cut = [re.sub(r"[ \t]{2,}", " ", numbered.sub(" ", x)).strip() if free and not re.match(r"\s*(#{1,6}\s|\|)", x) and numbered.search(x) else None for x, free in zip(lines, _open(lines))]
+        return "\n".join(x if new is None else new for x, new in zip(lines, cut) if new != "")
 
     @F.pandas_udf(T.StringType())
     def apply(text: pd.Series, found: pd.Series) -> pd.Series:
@@ -108,6 +98,7 @@ def repaired(text: Column) -> Column:
 
 # Passes over blocks of lines: one Arrow pass a document, as a block ends where a later line says so.
 
+#: Rows, rules, captions and bounds of cells.
 PIPE = re.compile(r"\s*\|.*\|\s*\Z")
 RULE = re.compile(r"\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*\Z")
 CAPTION = re.compile(r"\b(?:Table|Tab\.?|Figure|Fig\.?|Chart)\s+\d+\s*[:.]", re.I)
@@ -167,16 +158,20 @@ def tables_once(text: str) -> str:
     return "\n".join(x for n, x in enumerate(out) if x.strip() or not n or out[n - 1].strip()).rstrip()
 
 
+#: Lines that are no row whatever is in them, and what parts the cells of a row of each kind.
+NO_ROW = re.compile(r"#{1,6}\s|>|[-*+]\s|\d+\.\s|<!--|!\[|\$\$")
+PARTED = {"bars": r"(?<!\\)\|", "gaps": r"\t+| {2,}"}
+
+
 def _cells(line: str) -> tuple[str, list[str]] | None:
     """How a line could be a table's row - by bars or by gaps - and its cells."""
-    t = line.strip()
-    if not t or len(t) > MOST_ROW or re.match(r"#{1,6}\s|>|[-*+]\s|\d+\.\s|<!--|!\[|\$\$", t):
+    text = line.strip()
+    if not 0 < len(text) <= MOST_ROW or NO_ROW.match(text):
         return None
-    kind = "bars" if t.count("|") >= 1 and not t.startswith("http") else "gaps"
-    parts = [c.strip() for c in (re.split(r"(?<!\\)\|", t.strip("|")) if kind == "bars" else re.split(r"\t+| {2,}", t))]
-    if kind == "gaps":
-        parts = [c for c in parts if c]
-    return (kind, parts) if len(parts) >= 2 and all(len(c) <= MOST_CELL for c in parts) else None
+    kind = "bars" if "|" in text and not text.startswith("http") else "gaps"
+    cells = [x.strip() for x in re.split(PARTED[kind], text.strip("|") if kind == "bars" else text)]
+    cells = cells if kind == "bars" else list(filter(None, cells))
+    return (kind, cells) if len(cells) > 1 and max(map(len, cells)) <= MOST_CELL else None
 
 
 def tables_ruled(text: str) -> str:
@@ -244,8 +239,18 @@ def _pass(f):
     return apply
 
 
-#: The block passes by name, in the order in which they run.
-BLOCK_PASSES = {"tables_ruled": tables_ruled, "captions_apart": captions_apart, "references_listed": references_listed, "tables_once": tables_once, "math_flush": math_flush}
+#: The block passes by name, in the order in which they run on the Markdown alone.
+BLOCK_PASSES = {
+    "tables_ruled": tables_ruled,
+    "headings_repaired": passes.headings_repaired,
+    "captions_apart": captions_apart,
+    "equations_blocked": passes.equations_blocked,
+    "references_listed": references_listed,
+    "spacing_closed": passes.spacing_closed,
+    "tables_once": tables_once,
+    "math_unnested": passes.math_unnested,
+    "math_flush": math_flush,
+}
 
 
 def block_pass(name: str, text: Column) -> Column:
@@ -261,3 +266,30 @@ def all_passes(text: Column) -> Column:
         return t
 
     return blank_runs(glyph_garble(_pass(blocks)(artifacts(text))))
+
+
+def whole_repair(markdown: Column, layout: Column, pdf: Column) -> Column:
+    """Every pass in order, those with the layout among them; a null layout leaves these out. Running headers go before
+    (without_headers), as they are found over documents' pages."""
+
+    def blocks(t: str, x: str | None, name: str | None) -> str:
+        t = layouts.tables_spliced(tables_ruled(t), x) if x else tables_ruled(t)
+        had = re.search(r"^\s*#{1,6}\s+\S", t, re.M) is not None
+        t = passes.headings_repaired(t)
+        if x:
+            t = layouts.title_set(layouts.headings_promoted(t, layouts.headings(x)), layouts.title(x), had)
+        t = references_listed(passes.equations_blocked(captions_apart(t)))
+        t = passes.figures_linked(passes.placeholders_added(t, x, name), x, name)
+        return tables_once(passes.spacing_closed(t))
+
+    def again(t: str, x: str | None) -> str:
+        t = layouts.tables_spliced(t, x) if x else t
+        t = tables_once(passes.equations_blocked(passes.spacing_closed(t)))
+        t = tables_once(math_flush(passes.math_unnested(t)))
+        return layouts.equations_set(t, x) if x else t
+
+    @F.pandas_udf(T.StringType())
+    def first(m: pd.Series, x: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([blocks(*r) if r[0] is not None else None for r in zip(m, x, name)], dtype=object)
+
+    return blank_runs(layouts.with_layout_columns(again, glyph_garble(first(artifacts(markdown), layout, pdf)), layout))

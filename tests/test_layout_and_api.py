@@ -87,3 +87,32 @@ def test_library(spark, tmp_path):
     assert lib.get_citation("10.1234/dogs").first().verification_status == "verified"
     assert lib.list_citations(limit=1).first().next_cursor
     assert {r["name"]: r.n for r in lib.reset(True).collect()} is not None and lib.table("citations").count() == 0
+
+
+def test_tables_by_order_and_beside():
+    packed = "Table 3: Ablation\n\n  Name                 K=1           K=6\n              A  minADE minFDE minADE minFDE\n  Ours [9]    X  1.1    2.2    0.7    1.3\n  Base [8]       1.2    2.4    0.8    1.5\n"
+    (t,) = L.found_tables(packed)
+    assert t["placement"] == "below" and t["markdown"].split("\n") == [
+        "| Column 1 | A | minADE (K=1) | minFDE (K=1) | minADE (K=6) | minFDE (K=6) |",
+        "| --- | --- | --- | --- | --- | --- |",
+        "| Ours [9] | X | 1.1 | 2.2 | 0.7 | 1.3 |",
+        "| Base [8] |  | 1.2 | 2.4 | 0.8 | 1.5 |",
+    ]
+    side = "\n".join(f"prose of the left column                 m{k}      {k}.5     {k}.7" for k in range(4)) + "\nprose again here                         Table 2: On the side\n"
+    (t,) = L.found_tables(side)
+    assert t == {"number": "2", "page": 1, "placement": "above", "markdown": "| m0 | 0.5 | 0.7 |\n| --- | --- | --- |\n| m1 | 1.5 | 1.7 |\n| m2 | 2.5 | 2.7 |\n| m3 | 3.5 | 3.7 |"}
+
+
+def test_tables_are_spliced_once():
+    md = "As shown in Table 1, all is well.\nTable 1: Results of all\n\nMethod Acc Time Ours 0.91 12 Baseline 0.85 9\n\nProse that goes on.\nTable 1: again"
+    got = L.tables_spliced(md, PAGES)
+    assert got.count("| Method | Acc | Time |") == 1 and "Baseline 0.85 9\n" not in got
+    assert got.index("Table 1: Results of all\n\n| Method") < got.index("Prose that goes on.")
+    assert L.tables_spliced("no table here", PAGES) == "no table here"
+
+
+def test_rows_around_an_equation():
+    page = "              1\n    mAP =  ------ X  p      (1)\n            |C|   c=1\n\n   f(x) =               (2)\n            1   if x > 0\n            0   otherwise\n"
+    got = {e["label"]: e["latex"] for e in L.equations(page)}
+    assert got["2"] == "f(x) = \\begin{cases} 1 & \\text{if } x > 0 \\\\ 0 & \\text{otherwise} \\end{cases}"
+    assert "\\sum_{c=1}" in got["1"] and "\\frac{1}{|C|}" in got["1"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import equations as Q2
 from ..operators import layout as L
+from ..operators import passes as P
 from ..operators import quality as Q
 from ..operators import repair as R
 from ..operators import vectors as V
@@ -65,11 +68,48 @@ def word_counts(spark, d):
     return read(spark, d, "documents").select("doc_id", Q.word_count(F.col("text")).cast("long").alias("n_words"))
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then 0 when doc_id % 3 = 1 then 3 else 2 end as n_refs from documents")
+class Word:
+    """The k-th word of three to nine letters of a document, for Spark and for DuckDB; a made one where there are fewer."""
+
+    def __init__(self, k: int) -> None:
+        self.spark = f"coalesce(get(w, {k - 1}), 'zeta')"
+        self.duck = f"coalesce(w[{k}], 'zeta')"
+
+    def __format__(self, how: str) -> str:
+        which, shape = how.split("-")
+        word = getattr(self, which)
+        first, rest = f"substring({word}, 1, 1)", f"substring({word}, 2, 20)"
+        return {"T": f"(upper({first}) || lower({rest}))", "l": f"lower({word})"}[shape]
+
+
+W = {f"w{k}": Word(k) for k in range(1, 9)}
+#: The text itself as lines that can be no heading, table row, caption or equation: small letters and single spaces.
+_BODY = {"spark": "lower(trim(regexp_replace(regexp_replace(text, '[^A-Za-z\\\\n]+', ' '), ' *\\\\n[ \\\\n]*', chr(10))))", "duck": "lower(trim(regexp_replace(regexp_replace(text, '[^A-Za-z\\n]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g')))"}
+_FROM = "(select *, regexp_extract_all(text, '[A-Za-z]{3,9}') as w from documents)"
+
+
+def _both(template: str, which: str) -> str:
+    """A template's expression: {w1-T} is a word with a capital, {w1-l} one in small letters, {body} the text, {n} its length."""
+    out = re.sub(r"\{(w\d)-(\w)\}", lambda m: format(W[m[1]], f"{which}-{m[2]}"), template)
+    return out.replace("{body}", _BODY[which]).replace("{n}", f"cast(length(text) as {'string' if which == 'spark' else 'varchar'})").replace("{nl}", "chr(10)").replace("{m}", f"cast(length(text) % 1000 as {'string' if which == 'spark' else 'varchar'})")
+
+
+def _made(spark, d, markdown: str = "text", layout: str = "cast(null as string)"):
+    rows = read(spark, d, "documents").withColumn("w", F.expr("regexp_extract_all(text, '[A-Za-z]{3,9}', 0)"))
+    return rows.selectExpr("doc_id", f"{_both(markdown, 'spark')} as markdown", f"{_both(layout, 'spark')} as layout")
+
+
+def _sql(template: str) -> str:
+    return _both(template, "duck")
+
+
+_LIST = "case doc_id % 3 when 0 then '[1] {w}' when 1 then '## References' || {nl} || '[1] ' || {w1-T} || {nl} || '[2] B [1]' || {nl} || '[3] ' || {w2-l} || {nl} || '# After' || {nl} || '[9] no' else 'References' || {nl} || '1. ' || {w3-T} || {nl} || ' 2. B' || {nl} || 'text' end"
+
+
+@query("select doc_id, case doc_id % 3 when 0 then 0 when 1 then 3 else 2 end as n_refs from documents")
 def reference_counts(spark, d):
-    bracketed = "'## References' || chr(10) || '[1] A' || chr(10) || '[2] B [1]' || chr(10) || '[3] C' || chr(10) || '# After' || chr(10) || '[9] no'"
-    numbered = "'References' || chr(10) || '1. A' || chr(10) || ' 2. B' || chr(10) || 'text'"
-    rows = _docs(spark, d, f"case when doc_id % 3 = 0 then 'none [1]' when doc_id % 3 = 1 then {bracketed} else {numbered} end")
+    """Lists of references after the whole text."""
+    rows = _made(spark, d, "{body} || {nl} || " + _LIST)
     return rows.select("doc_id", Q.reference_count(Q.reference_lines(Q.lines_of(F.col("markdown")))).alias("n_refs"))
 
 
@@ -93,44 +133,68 @@ def garble_removed(spark, d):
     return read(spark, d, "documents").select("doc_id", R.glyph_garble(F.col("text")).alias("markdown"))
 
 
-_PAGE = "'1. Big Heading Here' || chr(10) || 'body' || chr(10) || '2.1 Data and Labels    B. Other Part ' || chr(10) || 'Table 2: Numbers' || chr(10) || chr(10) || '  name     value' || chr(10) || '  one      ' || cast(doc_id as string) || chr(10) || '  two      7' || chr(10) || chr(12) || '   y = a + b       (4)' || chr(10) || 'REFERENCES' || chr(10) || '3. Not This One'"
+_PAGE = "'1. Topic ' || {w1-T} || ' ' || {w2-T} || {nl} || {body} || {nl} || '2.1 Topic ' || {w3-T} || ' and ' || {w4-T} || '    B. ' || {w5-T} || ' Part' || {nl} || 'Table 2: Numbers' || {nl} || {nl} || '  name     value' || {nl} || '  ' || {w6-l} || '   ' || {n} || {nl} || '  ' || {w7-l} || '   7' || {nl} || chr(12) || {body} || {nl} || '   y = a + ' || {n} || '       (4)' || {nl} || 'REFERENCES' || {nl} || '3. ' || {w8-T} || ' Last'"
+_HEADS = ["'1. Topic ' || {w1-T} || ' ' || {w2-T}", "'2.1 Topic ' || {w3-T} || ' and ' || {w4-T}", "'B. ' || {w5-T} || ' Part'", "'REFERENCES'"]
 
 
-@query("select doc_id, unnest(['1. Big Heading Here', '2.1 Data and Labels', 'B. Other Part', 'REFERENCES']) as text, unnest([2, 3, 3, 2]) as level, unnest([1, 1, 1, 2]) as page from documents")
+@query(f"select doc_id, unnest([{_sql(', '.join(_HEADS))}]) as text, unnest([2, 3, 3, 2]) as level, unnest([1, 1, 1, 2]) as page from {_FROM}")
 def layout_headings(spark, d):
-    return _docs(spark, d, "text", _PAGE).select("doc_id", F.explode(L.layout_headings(F.col("layout"))).alias("h")).select("doc_id", "h.*")
+    return _made(spark, d, "text", _PAGE).select("doc_id", F.explode(L.layout_headings(F.col("layout"))).alias("h")).select("doc_id", "h.*")
 
 
-@query("select doc_id, '2' as number, 1 as page, '| name | value |' || chr(10) || '| --- | --- |' || chr(10) || '| one | ' || cast(doc_id as varchar) || ' |' || chr(10) || '| two | 7 |' as markdown from documents")
+_GRID = "'| name | value |' || {nl} || '| --- | --- |' || {nl} || '| ' || {w6-l} || ' | ' || {n} || ' |' || {nl} || '| ' || {w7-l} || ' | 7 |'"
+
+
+@query(f"select doc_id, '2' as number, 1 as page, {_sql(_GRID)} as markdown from {_FROM}")
 def layout_tables(spark, d):
-    return _docs(spark, d, "text", _PAGE).select("doc_id", F.explode(L.layout_tables(F.col("layout"))).alias("t")).select("doc_id", "t.*")
+    return _made(spark, d, "text", _PAGE).select("doc_id", F.explode(L.layout_tables(F.col("layout"))).alias("t")).select("doc_id", "t.*")
 
 
-@query("select doc_id, '4' as label, 2 as page, 'y = a + b' as latex from documents")
+@query(f"select doc_id, '4' as label, 2 as page, 'y = a + ' || {_sql('{n}')} as latex from {_FROM}")
 def layout_equations(spark, d):
-    return _docs(spark, d, "text", _PAGE).select("doc_id", F.explode(L.layout_equations(F.col("layout"))).alias("e")).select("doc_id", "e.*")
+    return _made(spark, d, "text", _PAGE).select("doc_id", F.explode(L.layout_equations(F.col("layout"))).alias("e")).select("doc_id", "e.*")
 
 
-@query("select doc_id, ['B. Other Part', 'REFERENCES'] as missing from documents")
+@query(f"select doc_id, [{_sql(_HEADS[2])}, 'REFERENCES'] as missing from {_FROM}")
 def missing_headings(spark, d):
-    md = "'## Big heading here' || chr(10) || '### 2.1. Data and labels'"
-    rows = _docs(spark, d, md, _PAGE)
+    rows = _made(spark, d, "{body} || {nl} || '## topic ' || {w1-l} || ' ' || {w2-T} || {nl} || '### 2.1. Topic ' || {w3-T} || ' And ' || {w4-l}", _PAGE)
     return rows.select("doc_id", L.missing_headings(F.col("layout"), Q.section_headings(Q.lines_of(F.col("markdown")))).alias("missing"))
 
 
-_SOURCE = "'a = b + c + d  (1)' || chr(10) || 'x = y - z  (2)' || chr(10) || 'p = q + r  (3)' || chr(10) || 'u = v + w  (4)' || chr(10) || 'k = 2 m + ' || cast(doc_id as string) || '  (5)'"
-_MATH = "'$$' || chr(10) || 'a = b + c + d \\\\tag{1}' || chr(10) || '$$' || chr(10) || 'x = y - z  (2)' || chr(10) || '$$' || chr(10) || 'f(g) h j \\\\tag{3}' || chr(10) || '$$' || chr(10) || '$$ Equation not extracted \\\\tag{4} $$'"
+_TEXT = "{body} || {nl} || 'As Table 2 shows, all is well.' || {nl} || {nl} || 'Table 2: Numbers' || {nl} || {nl} || 'name value ' || {w6-l} || ' ' || {n} || ' ' || {w7-l} || ' 7 end' || {nl} || {nl} || 'Prose.'"
+
+
+@query(f"select doc_id, {_sql("{body} || {nl} || 'As Table 2 shows, all is well.' || {nl} || {nl} || 'Table 2: Numbers' || {nl} || {nl} || ")}{_sql(_GRID)} || chr(10) || chr(10) || 'Prose.' as markdown from {_FROM}")
+def tables_spliced(spark, d):
+    """A table's remains below its caption give way to the layout's table."""
+    return _made(spark, d, _TEXT, _PAGE).select("doc_id", L.with_layout_columns(L.tables_spliced, F.col("markdown"), F.col("layout")).alias("markdown"))
+
+
+@query(f"select doc_id, {_sql("{body} || {nl} || '## 1. Topic ' || {w1-T} || ' ' || {w2-T} || {nl} || {nl} || 'goes on.' || {nl} || 'It ends.' || {nl} || {nl} || '### 2.1 Topic ' || {w3-T} || ' and ' || {w4-T}")} as markdown from {_FROM}")
+def headings_promoted(spark, d):
+    """Headings welded into prose, cut out of it and set at their level."""
+    rows = _made(spark, d, "{body} || {nl} || '1. Topic ' || {w1-T} || ' ' || {w2-T} || ' goes on.' || {nl} || 'It ends. 2.1 Topic ' || {w3-T} || ' and ' || {w4-T}", _PAGE)
+    return rows.select("doc_id", L.with_layout_columns(lambda m, x: L.headings_promoted(m, L.headings(x)[:2]), F.col("markdown"), F.col("layout")).alias("markdown"))
+
+
+_SOURCE = "{body} || {nl} || {w1-l} || ' = b + c + d  (1)' || {nl} || 'x = y - z  (2)' || {nl} || 'p = q + r  (3)' || {nl} || 'u = v + w  (4)' || {nl} || 'k = 2 m + ' || {n} || '  (5)'"
+_MATH = "{body} || {nl} || '$$' || {nl} || {w1-l} || ' = b + c + d \\\\tag{1}' || {nl} || '$$' || {nl} || 'x = y - z  (2)' || {nl} || '$$' || {nl} || 'f(g) h j ' || {n} || ' \\\\tag{3}' || {nl} || '$$' || {nl} || '$$ Equation not extracted \\\\tag{4} $$'"
 
 
 @query("select doc_id, unnest(['1', '2', '3', '4', '5']) as label, unnest(['matched', 'format-issue', 'content-mismatch', 'placeholder', 'missing']) as status from documents")
 def equation_statuses(spark, d):
-    return Q2.compared(_docs(spark, d, _MATH, _SOURCE)).select("doc_id", "label", "status")
+    """Equations after the whole text, each in another state."""
+    return Q2.compared(_made(spark, d, _MATH, _SOURCE)).select("doc_id", "label", "status")
+
 
+_LINES = "len(string_split({}, chr(10)))"
 
-@query("select doc_id, unnest([3, 5, 5, 6, 9]) as line, unnest(['row ends at the equals sign', 'fraction stacked in rows', 'superscript without a base or exponent', 'row begins with an operator', 'display math is not closed']) as message from documents")
+
+@query(f"with t as (select doc_id, {_LINES.format(_BODY['duck'])} as n from {_FROM}) select doc_id, cast(n + unnest([2, 4, 4, 5, 8]) as integer) as line, unnest(['row ends at the equals sign', 'fraction stacked in rows', 'superscript without a base or exponent', 'row begins with an operator', 'display math is not closed']) as message from t")
 def render_issues(spark, d):
-    text = "'text' || chr(10) || '$$' || chr(10) || 'y = \\\\\\\\' || chr(10) || 'a = b' || chr(10) || 'k ^' || chr(10) || '+ 2' || chr(10) || 'z = 1' || chr(10) || '$$' || chr(10) || '$$' || chr(10) || cast(doc_id as string)"
-    return _docs(spark, d, text).select("doc_id", F.explode(Q2.render_issues(F.col("markdown"))).alias("i")).select("doc_id", "i.*")
+    """Faults of display math after the whole text."""
+    text = "{body} || {nl} || '$$' || {nl} || 'y = \\\\\\\\' || {nl} || 'a = b' || {nl} || 'k ^' || {nl} || '+ 2' || {nl} || 'z = 1' || {nl} || '$$' || {nl} || '$$' || {nl} || {w1-l}"
+    return _made(spark, d, text).select("doc_id", F.explode(Q2.render_issues(F.col("markdown"))).alias("i")).select("doc_id", "i.*")
 
 
 _NOTED = "'Some text that goes on and on. Figure 3: a caption' || chr(10) || text || chr(10) || 'as we see in Table 4: not this'"
@@ -141,21 +205,71 @@ def captions_apart(spark, d):
     return _docs(spark, d, _NOTED).select("doc_id", R.block_pass("captions_apart", F.col("markdown")).alias("markdown"))
 
 
-@query("select doc_id, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || cast(doc_id as varchar) || ' |' || chr(10) || 'end' as markdown from documents")
+@query(f"select doc_id, {_sql("{body} || {nl} || '| a | ' || {w1-l} || ' |' || {nl} || '| --- | --- |' || {nl} || '| 1 | ' || {n} || ' |' || {nl} || 'end'")} as markdown from {_FROM}")
 def tables_ruled(spark, d):
-    return _docs(spark, d, "'a   b' || chr(10) || '1    ' || cast(doc_id as string) || chr(10) || 'end'").select("doc_id", R.block_pass("tables_ruled", F.col("markdown")).alias("markdown"))
+    return _made(spark, d, "{body} || {nl} || 'a   ' || {w1-l} || {nl} || '1    ' || {n} || {nl} || 'end'").select("doc_id", R.block_pass("tables_ruled", F.col("markdown")).alias("markdown"))
 
 
-@query("select doc_id, 'x' || chr(10) || '## References' || chr(10) || chr(10) || '1. One ' || cast(doc_id as varchar) || chr(10) || '2. Two three' as markdown from documents")
+@query(f"select doc_id, {_sql("{body} || {nl} || '## References' || {nl} || {nl} || '1. One ' || {n} || {nl} || '2. ' || {w1-T} || ' three'")} as markdown from {_FROM}")
 def references_listed(spark, d):
-    refs = "case doc_id % 3 when 0 then '[1] One ' || cast(doc_id as string) || ' [2] Two' || chr(10) || 'three' when 1 then '1. One ' || cast(doc_id as string) || chr(10) || '2. Two three' else '- One ' || cast(doc_id as string) || chr(10) || '* Two' || chr(10) || ' three' end"
-    return _docs(spark, d, f"'x' || chr(10) || '# 7. References' || chr(10) || {refs}").select("doc_id", R.block_pass("references_listed", F.col("markdown")).alias("markdown"))
+    refs = "case doc_id % 3 when 0 then '[1] One ' || {n} || ' [2] ' || {w1-T} || {nl} || 'three' when 1 then '1. One ' || {n} || {nl} || '2. ' || {w1-T} || ' three' else '- One ' || {n} || {nl} || '* ' || {w1-T} || {nl} || ' three' end"
+    return _made(spark, d, "{body} || {nl} || '# 7. References' || {nl} || " + refs).select("doc_id", R.block_pass("references_listed", F.col("markdown")).alias("markdown"))
+
+
+_TABLE = "'| a | ' || {w1-l} || ' |' || {nl} || '|---|---|' || {nl} || '| 1 | ' || {n} || ' |' || {nl}"
 
 
-@query("select doc_id, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10) || 'end' as markdown from documents")
+@query(f"select doc_id, {_sql("'x' || {nl} || " + _TABLE + " || {nl} || {w2-l} || {nl} || 'end'")} as markdown from {_FROM}")
 def tables_once(spark, d):
-    t = "'| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10)"
-    return _docs(spark, d, f"{t} || chr(10) || replace({t}, ' 1', '  1') || chr(10) || 'end'").select("doc_id", R.block_pass("tables_once", F.col("markdown")).alias("markdown"))
+    return _made(spark, d, f"'x' || {{nl}} || {_TABLE} || {{nl}} || {{w2-l}} || {{nl}} || replace({_TABLE}, ' 1', '  1') || 'end'").select("doc_id", R.block_pass("tables_once", F.col("markdown")).alias("markdown"))
+
+
+_HEADED = "'# ' || {w1-T} || ' ' || {w2-T} || {nl} || '### ' || {w3-T} || ' University' || {nl} || '## ABSTRACT' || {nl} || {body} || {nl} || '#### II. ' || {w4-T} || {nl} || '# 2.1 ' || {w5-T} || {nl} || '##### wrapped line of prose in ' || {w6-l} || {nl} || '### METHOD AND DATA' || {nl} || '## = ' || {w7-l}"
+_REHEADED = "'# ' || {w1-T} || ' ' || {w2-T} || {nl} || {w3-T} || ' University' || {nl} || '## Abstract' || {nl} || {body} || {nl} || '## II. ' || {w4-T} || {nl} || '### 2.1 ' || {w5-T} || {nl} || 'wrapped line of prose in ' || {w6-l} || {nl} || '## METHOD AND DATA' || {nl} || '= ' || {w7-l}"
+
+
+@query(f"select doc_id, {_sql(_REHEADED)} as markdown from {_FROM}")
+def headings_repaired(spark, d):
+    return _made(spark, d, _HEADED).select("doc_id", R.block_pass("headings_repaired", F.col("markdown")).alias("markdown"))
+
+
+_INLINE = "{body} || {nl} || '## Next' || {nl} || 'as is shown by the loss L = a + ' || {n} || ' (3) and so on' || {nl} || 'x = y - ' || {n} || ', (4)'"
+_BLOCKED = "{body} || {nl} || '## Next' || {nl} || 'as is shown by the loss' || {nl} || {nl} || '$$' || {nl} || 'L = a + ' || {n} || {nl} || '\\tag{3}' || {nl} || '$$' || {nl} || {nl} || 'and so on' || {nl} || {nl} || '$$' || {nl} || 'x = y - ' || {n} || {nl} || '\\tag{4}' || {nl} || '$$' || {nl}"
+
+
+@query(f"select doc_id, {_sql(_BLOCKED)} as markdown from {_FROM}")
+def equations_blocked(spark, d):
+    return _made(spark, d, _INLINE).select("doc_id", R.block_pass("equations_blocked", F.col("markdown")).alias("markdown"))
+
+
+_FIGURED = "{body} || {nl} || 'Figure 2: The ' || {w1-l} || {nl} || 'as in Fig. 2 here'"
+_FIGURE_PAGES = "{body} || chr(12) || 'Figure 2: The ' || {w1-l} || {nl} || {nl} || 'Figure 3. A long-' || {nl} || 'er ' || {w2-l}"
+
+
+@query(f"select doc_id, {_sql("{body} || {nl} || 'Figure 2: The ' || {w1-l} || {nl} || {nl} || '> Figure source: [PDF page 2](../pdf/a%20b.pdf#page=2)' || {nl} || 'as in Fig. 2 here'")} as markdown from {_FROM}")
+def figures_linked(spark, d):
+    return _made(spark, d, _FIGURED, _FIGURE_PAGES).select("doc_id", L.with_layout_columns(lambda m, x: P.figures_linked(m, x, "/p/a b.pdf"), F.col("markdown"), F.col("layout")).alias("markdown"))
+
+
+@query(f"select doc_id, {_sql(_FIGURED + " || {nl} || {nl} || 'Figure 3. A longer ' || {w2-l} || {nl} || {nl} || '> Figure source: [PDF page 2](../pdf/a%20b.pdf#page=2) — source image not extracted' || {nl}")} as markdown from {_FROM}")
+def placeholders_added(spark, d):
+    return _made(spark, d, _FIGURED, _FIGURE_PAGES).select("doc_id", L.with_layout_columns(lambda m, x: P.placeholders_added(m, x, "/p/a b.pdf"), F.col("markdown"), F.col("layout")).alias("markdown"))
+
+
+@query(f"select doc_id, {_sql("{w1-T} || ' goes on' || {nl} || 'and on.' || {nl} || {nl} || {w2-T} || ' begins' || {nl} || {nl} || '- item' || {nl} || {nl} || {body}")} as markdown from {_FROM}")
+def spacing_closed(spark, d):
+    return _made(spark, d, "{w1-T} || ' goes on' || {nl} || {nl} || 'and on.' || {nl} || {nl} || {w2-T} || ' begins' || {nl} || {nl} || '- item' || {nl} || {nl} || {body}").select("doc_id", R.block_pass("spacing_closed", F.col("markdown")).alias("markdown"))
+
+
+_STUMBLES = f"""with l as (select doc_id, string_split({_BODY['duck']}, chr(10)) as l from {_FROM}),
+i as (select doc_id, unnest(range(1, len(l) + 1)) as k, unnest(l) as x, 'high' as severity, 'very long line is hard for an agent to scan and quote precisely' as message from l),
+a as (select doc_id, k, severity, message from i where length(trim(x)) > 260 union all select doc_id, len(l) + 1, 'medium', 'wrapped body text was emitted as a deep heading' from l)"""
+
+
+@query(f"{_STUMBLES} select doc_id, cast(k as integer) as line, severity, message from a qualify row_number() over (partition by doc_id order by k) <= 50")
+def readability_issues(spark, d):
+    rows = Q.issue_rows(_made(spark, d, "{body} || {nl} || '#### wrapped line of prose in ' || {w1-l}"))
+    return rows.select("doc_id", "line", "severity", "message")
 
 
 @query()
@@ -164,17 +278,17 @@ def documents_repaired(spark, d):
     return read(spark, d, "documents").select("doc_id", R.all_passes(F.col("text")).alias("markdown"))
 
 
-_LAYOUT = "'Journal of Things ' || cast(doc_id as string) || chr(10) || 'body one' || chr(12) || '12 Journal of Things ' || cast(doc_id as string) || chr(10) || 'b' || chr(12) || 'Journal of  Things 14'"
+_LAYOUT = "'Journal of ' || {w1-T} || ' ' || {m} || {nl} || {body} || chr(12) || '12 Journal of ' || {w1-T} || ' ' || {m} || {nl} || 'b' || chr(12) || 'Journal of  ' || {w1-T} || ' 14'"
 
 
-@query("select doc_id, 'Journal of Things' as header from documents")
+@query(f"select doc_id, {_sql("'Journal of ' || {w1-T}")} as header from {_FROM}")
 def running_headers(spark, d):
-    return R.running_headers(_docs(spark, d, "text", _LAYOUT))
+    return R.running_headers(_made(spark, d, "text", _LAYOUT))
 
 
 @query("select doc_id, replace(text, '. ', chr(10)) as markdown from documents")
 def headers_removed(spark, d):
-    rows = _docs(spark, d, "'3 Journal of Things' || chr(10) || replace(text, '. ', chr(10))", _LAYOUT)
+    rows = _made(spark, d, "'3 Journal of ' || {w1-T} || {nl} || replace(text, '. ', {nl})", _LAYOUT)
     return R.without_headers(rows.select("doc_id", "markdown"), R.running_headers(rows))
 
 

@@ -82,3 +82,54 @@ def bibtex_entries(spark, d):
 def import_report(spark, d):
     rows = read(spark, d, "orders").selectExpr("o_orderkey as doi", "o_orderkey % 3 = 0 as inserted", "case when o_orderkey % 4 = 0 then null else 'x' end as source", "o_orderkey % 8 = 0 as skipped")
     return G.import_summary(rows)
+
+
+@query("select o_orderkey as doi, case when o_orderkey % 8 = 0 then 'skipped' else 'failed' end as kind, 'why ' || o_orderpriority as reason from orders where o_orderkey % 8 = 0 or o_orderkey % 4 = 0")
+def import_issues(spark, d):
+    rows = read(spark, d, "orders").selectExpr("o_orderkey as doi", "o_orderstatus as bibtex_key", "case when o_orderkey % 4 = 0 then null else 'x' end as source", "o_orderkey % 8 = 0 as skipped", "'why ' || o_orderpriority as reason")
+    return G.import_issues(rows).select("doi", "kind", "reason")
+
+
+_ASKED = ["event_type as source", "event_id as seq", "event_id * 300 + user_id % 50 * 40 as ts_ms"]
+
+
+@query(
+    f"""with r as (select *, row_number() over (partition by source order by seq) - 1 as n from (select {', '.join(_ASKED)} from events))
+select source, seq, ts_ms, max(ts_ms - n * 3000) over (partition by source order by seq) + n * 3000 as start_ms from r"""
+)
+def limiter_tickets(spark, d):
+    return G.tickets(read(spark, d, "events").selectExpr(*_ASKED), 3000)
+
+
+_STEPS = ["user_id as entry_id", "event_id as seq", "event_type as stage", "event_id % 9 = 0 as final"]
+
+
+@query(
+    f"""with e as (select *, min(case when final then seq end) over (partition by entry_id) as last from (select {', '.join(_STEPS)} from events))
+select entry_id, seq, stage, coalesce(seq = last, false) as settled from e where last is null or seq <= last"""
+)
+def import_progress(spark, d):
+    return G.progress(read(spark, d, "events").selectExpr(*_STEPS))
+
+
+@query(r"""select p_partkey as id, 'ti:"' || trim(regexp_replace('On {' || p_name || '}: 2nd  part', '\s+', ' ', 'g')) || '"' as strict, 'all:"' || trim(regexp_replace(regexp_replace('On {' || p_name || '}: 2nd  part', '[^a-zA-Z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) || '"' as broad, '24' || p_partkey || '.7' as arxiv_id from part""")
+def arxiv_queries(spark, d):
+    title = F.expr("'On {' || p_name || '}: 2nd  part'")
+    url = F.expr("case when p_size % 2 = 0 then 'https://arxiv.org/abs/24' || cast(p_partkey as string) || '.7v2' else 'http://arxiv.org/pdf/24' || cast(p_partkey as string) || '.7.pdf' end")
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), G.arxiv_query(title).alias("strict"), G.arxiv_query(title, True).alias("broad"), G.arxiv_id(url).alias("arxiv_id"))
+
+
+_FOUND = "p_partkey as doi, p_size % 7 as pos, p_name as expected"
+
+
+@query(
+    f"""with p as (select {_FOUND}, p_size, p_brand from part) select doi, case when p_size % 3 = 0 then 'strict' else 'broad' end as step, cast(pos as bigint) as pos, expected as actual, 1.0 as similarity from p
+where pos < 5 and p_size % 4 > 0"""
+)
+def arxiv_matches(spark, d):
+    """Strict answers where there are some, right or wrong; else broad ones."""
+    rows = read(spark, d, "part").selectExpr(*_FOUND.split(", "), "p_size")
+    right = F.when(F.col("p_size") % 4 > 0, F.col("expected")).otherwise("zzzz qqqq")
+    answers = rows.withColumn("actual", right).select("doi", F.col("pos").cast("long").alias("pos"), "expected", "actual", "p_size")
+    strict, broad = answers.where("p_size % 3 = 0").drop("p_size"), answers.drop("p_size")
+    return G.two_step(strict, broad)

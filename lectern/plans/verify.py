@@ -90,3 +90,31 @@ def token_overlap(spark, d):
     w = read(spark, d, "documents").select("doc_id", quote_tokens(trimmed(F.lower("text"))).alias("t")).withColumn("k", F.get("t", F.lit(0)))
     q = read(spark, d, "benchmark").select("item_id", quote_tokens(trimmed(F.lower("text"))).alias("q")).withColumn("k", F.get("q", F.lit(0)))
     return w.join(q, "k").select("doc_id", "item_id", rounded(F.size(F.array_intersect("q", "t")) / F.size("q"), 2).alias("similarity"))
+
+
+_ASKED = "case doc_n % 4 when 0 then null when 1 then 'doi/' || cast(doc_n % 40 as varchar) when 2 then 'doi/none' else 'doi/' || cast(doc_n as varchar) end"
+
+
+@query(
+    f"""with n as (select item_id as quote_id, {_norm('text')} as needle, row_number() over (order by item_id) as doc_n from benchmark),
+t as (select doc_id, doc_id % 28 as created_at, {_norm('text')} as norm from documents where doc_id % 5 > 0), q as (select *, {_ASKED} as doi from n),
+one as (select quote_id, count(*) filter (contains(norm, needle)) as k from q join t on q.doi = 'doi/' || cast(t.doc_id as varchar) group by quote_id),
+every as (select quote_id, least(count(*), 5) as k from q join t on contains(norm, needle) where q.doi is null group by quote_id)
+select q.quote_id, case when q.doi is not null and not exists (select 1 from documents d where q.doi = 'doi/' || cast(d.doc_id as varchar)) then 'unknown-doi' when q.doi is not null and one.k is null then 'no-markdown' else 'ok' end as status,
+cast(coalesce(one.k, every.k, 0) as bigint) as n_exact from q left join one using (quote_id) left join every using (quote_id)"""
+)
+def quotes_checked(spark, d):
+    """Quotes with and without a DOI, in documents of which every fifth has no text."""
+    from pyspark.sql import Window as W
+
+    from ..operators.chunker import chunked
+
+    nth = F.row_number().over(W.orderBy("item_id"))
+    quotes = read(spark, d, "benchmark").withColumn("doc_n", nth).select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), F.expr(_ASKED.replace("varchar", "string")).alias("doi"))
+    docs = read(spark, d, "documents")
+    citations = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("doi/"), F.col("doc_id").cast("string")).alias("doi"), (F.col("doc_id") % 28).alias("created_at"))
+    texts = docs.where("doc_id % 5 > 0").select(F.col("doc_id").alias("citation_id"), "text")
+    chunks = chunked(texts, "citation_id").withColumn("chunk_id", F.col("citation_id") * 1_000_000 + F.col("ordinal"))
+    got = V.checked(quotes, citations, texts, chunks, compose=False)
+    exact = F.size(F.filter("matches", lambda m: m["similarity"] == 1.0)).cast("long")
+    return got.select("quote_id", "status", exact.alias("n_exact"))

@@ -11,7 +11,8 @@ Pairs of fingerprints at most `radius` bits apart are found exactly and without
    maximum coordinate difference are discarded; survivors are verified by counting their differing bits.
 4. A bucket passes on a spanning forest of its links, not all of them, and the forests' connected
    components are the groups. A dense bucket is searched breadth first against the fingerprints not yet
-   reached, which a group of near copies empties after a few steps.
+   reached, which a group of near copies empties after a few steps; a bucket of more than BLOCK fingerprints is
+   searched block by block (blocks.py).
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import EDGE, Search, block_links
 from .common import byte_lists, local_components, one_of_each, packed, pieces, session, take, text_bytes, written
 from .graph import connected_components
 
 #: Reference fingerprints: pseudo-random and fixed.
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"reference {i}".encode()) for i in range(16)], np.uint64)
 DENSE = 48
+BLOCK = 8192
 
 
 def fingerprints(texts: list[bytes], shingle: int = 4) -> np.ndarray:
@@ -136,6 +139,27 @@ def _forest(t: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int) -> tupl
     return node[up], node[root[up]]
 
 
+def _search(radius: int) -> Search:
+    """Spanning links of a block; of strays, one to each component among the others."""
+
+    def found(node: np.ndarray, _: list, root: np.ndarray, stray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fp = node.view(np.uint64)
+        co = _coordinates(fp)
+        if not stray.any():
+            return _dense(fp, co, radius)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        rest = np.flatnonzero(~stray)
+        for x in np.flatnonzero(stray):
+            i, j = _verified(fp, co, np.full(rest.size, x), rest, radius)
+            j = j[root[j] != root[x]]
+            j = j[np.unique(root[j], return_index=True)[1]]
+            a.append(np.full(j.size, x))
+            b.append(j)
+        return np.concatenate(a), np.concatenate(b)
+
+    return found
+
+
 def links(distinct: DataFrame, radius: int = 4, load: int = 16) -> DataFrame:
     """Edges (src, dst) whose components are those of all pairs of distinct(fp) at most `radius` bits apart."""
     session(distinct)
@@ -147,7 +171,9 @@ def links(distinct: DataFrame, radius: int = 4, load: int = 16) -> DataFrame:
     masks = [sum(x) for x in combinations(block, blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     dealt = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    schema = EDGE
+    large = written(dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK))
+    some = not large.isEmpty()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -171,7 +197,12 @@ def links(distinct: DataFrame, radius: int = 4, load: int = 16) -> DataFrame:
         if held:
             yield forest(held)
 
-    return dealt.select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(search, "src long, dst long")
+    small = dealt.join(large, ["t", "key"], "left_anti") if some else dealt
+    by_bucket = small.select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(search, "src long, dst long")
+    if not some:
+        return by_bucket
+    members = dealt.join(large, ["t", "key"]).select("t", "key", "n", F.col("fp").alias("node"), F.lit(None).cast("binary").alias("payload"))
+    return by_bucket.unionByName(block_links(members, BLOCK, _search(radius)))
 
 
 def fingerprint_table(docs: DataFrame, keep: list[str], shingle: int = 4) -> DataFrame:

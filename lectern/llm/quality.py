@@ -39,13 +39,20 @@ BITS = 18
 #: Documents in the scorer's training sample, at most.
 SAMPLE = 8_000
 REMEMBERED = 400_000
-#: Labelled rows that stems are mined from and their threshold set by, at most; and stems, at most.
+#: Labelled rows that stems are mined from and their threshold set by, at most; their words bound the stems.
 LABELLED = 20_000
-STEMS = 5_000
 STEM_BYTES = 6
 TASKS = ("junk", "abuse")
 
 
+def stem(word: bytes) -> bytes:
+    """The first STEM_BYTES bytes of a word, without the beginning of a character that goes on after them."""
+    cut = STEM_BYTES
+    while cut < len(word) and word[cut] & 0xC0 == 0x80:
+        cut -= 1
+    return word[:cut]
+
+
 @dataclass
 class Mined:
     """Stems of abuse with their log ratios, and the score from which a text counts as abusive."""
@@ -55,7 +62,7 @@ class Mined:
 
     def score(self, clean: list[bytes]) -> float:
         get = self.stems.get
-        return sum(w for w in (get(x[:STEM_BYTES]) for x in clean) if w) / (len(clean) ** 0.8 + 1)
+        return sum(w for w in (get(x if x.isascii() and len(x) <= STEM_BYTES else stem(x)) for x in clean) if w) / (len(clean) ** 0.8 + 1)
 
 
 def statistics(text: bytes, mined: Mined | None = None) -> tuple[dict[str, int], list[bytes]]:
@@ -236,8 +243,8 @@ def mine(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Mined | N
         for batch in batches:
             for i, label, clean in labelled(batch):
                 if zlib.crc32(str(i).encode()) % 4:
-                    for stem in {w[:STEM_BYTES] for w in clean}:
-                        found.setdefault(stem, [0, 0])[label] += 1
+                    for x in set(map(stem, clean)):
+                        found.setdefault(x, [0, 0])[label] += 1
                     found[b""][label] += 1
             if len(found) > REMEMBERED:
                 yield table(found)
@@ -256,7 +263,7 @@ def mine(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Mined | N
     # Two standard errors off, a stem must still be three times as frequent among the toxic.
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     best = counts.where(F.octet_length("stem") > 0).withColumn("w", ratio).where("toxic >= 4").where(F.col("w") - 2 * error > float(np.log(3)))
-    stems = {bytes(r.stem): r.w for r in best.orderBy(F.desc("w"), "stem").limit(STEMS).collect()}
+    stems = {bytes(r.stem): r.w for r in best.collect()}
     trial = Mined(stems, 1.0)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

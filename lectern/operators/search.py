@@ -27,13 +27,20 @@ def parse_query(query: str, stemmed: bool = True) -> list[list[str]]:
     return [t for t in (terms(p, stemmed) for p in parts) if t]
 
 
-def build_index(docs: DataFrame, key: str, columns: list[str], stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """postings(term, key, positions) and lengths(key, n_terms) of docs' columns; rows without terms have length 0."""
+def build_index(docs: DataFrame, key: str, columns: list[str], stemmed: bool = True, only: list[list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """postings(term, key, positions) and lengths(key, n_terms) of docs' columns; rows without terms have length 0.
+
+    only: phrases whose terms alone are wanted, for a search without a kept index; other terms are then never dealt out.
+    """
     cut = stemmed_terms if stemmed else plain_terms
     texts = docs.select(key, F.explode(F.array(*[F.struct(F.lit(k).alias("col"), F.col(c).alias("text")) for k, c in enumerate(columns)])).alias("t"))
     tokens = texts.select(key, F.col("t.col").alias("col"), cut(F.coalesce(F.col("t.text"), F.lit(""))).alias("terms"))
     lengths = tokens.groupBy(key).agg(F.sum(F.size("terms")).cast("long").alias("n_terms"))
-    each = tokens.select(key, "col", F.posexplode("terms").alias("pos", "term"))
+    numbered = F.transform("terms", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
+    if only is not None:
+        wanted = sorted({t for p in only for t in p}) or [""]
+        numbered = F.filter(numbered, lambda x: x["term"].isin(wanted))
+    each = tokens.select(key, "col", F.explode(numbered).alias("x")).select(key, "col", "x.pos", "x.term")
     place = F.col("pos") + F.col("col").cast("long") * COLUMN_GAP
     postings = each.groupBy("term", key).agg(F.sort_array(F.collect_list(place)).alias("positions"))
     return postings, lengths
@@ -145,8 +152,8 @@ def ranked(citations: DataFrame, chunks: DataFrame, query: str, stemmed: bool =
     """
     from .relational import SEARCHED, hits_of
 
-    meta_p, meta_l, body_p, body_l = index or (*build_index(citations, "id", list(SEARCHED), stemmed), *build_index(chunks, "chunk_id", ["text"], stemmed))
     phrases = parse_query(query, stemmed)
+    meta_p, meta_l, body_p, body_l = index or (*build_index(citations, "id", list(SEARCHED), stemmed, phrases), *build_index(chunks, "chunk_id", ["text"], stemmed, phrases))
     meta = bm25(meta_p, meta_l, "id", phrases).select(F.col("id").alias("citation_id"), "rank")
     body = bm25(body_p, body_l.select("chunk_id", "n_terms"), "chunk_id", phrases).join(chunks.select("chunk_id", "citation_id"), "chunk_id").select("citation_id", "rank")
     return hits_of(meta, body).withColumnRenamed("citation_id", "id")

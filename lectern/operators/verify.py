@@ -44,11 +44,12 @@ def containing(needled: DataFrame, texts: DataFrame, key: str, text: str = "norm
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     each = texts.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("anchor"))
     offered = needled.select("quote_id", "needle", F.explode(F.array_distinct(inner)).alias("anchor"))
-    holders = each.join(offered.select("anchor").distinct(), "anchor", "left_semi").groupBy("anchor").agg(F.count(F.lit(1)).alias("held"))
+    # Dealt by word once; the count and the join below read the same shuffle.
+    near = each.join(offered.select("anchor").distinct(), "anchor", "left_semi").repartition("anchor")
+    holders = near.groupBy("anchor").agg(F.count(F.lit(1)).alias("held"))
     rated = offered.join(holders, "anchor", "left").groupBy("quote_id", "needle").agg(F.min_by("anchor", F.struct("held", "anchor")).alias("anchor"), F.bool_and(F.col("held").isNotNull()).alias("known"))
     long = rated.where("known").drop("known")
-    wanted = long.select("anchor").distinct()
-    pairs = each.join(wanted, "anchor", "left_semi").join(long, "anchor").select("quote_id", "needle", key)
+    pairs = near.join(long, "anchor").select("quote_id", "needle", key)
     marked = needled.withColumn("anchor", F.get(inner, F.lit(0)))
     short = marked.where("anchor is null").select("quote_id", "needle")
     # The first word of a short needle ends a word of the text, the last begins one: join on suffixes of its length.

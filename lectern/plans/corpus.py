@@ -57,6 +57,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it comes in fewer: one small file is one task, which would keep the
+    text work on one core. Larger tables stay as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def ctes(*names: str) -> str:
     """The same tables as common table expressions."""
     return ", ".join(f"{n} as (select {', '.join(f'{e} as {c}' for c, e in _TABLES[n][1].items())} from {_TABLES[n][0]})" for n in names)

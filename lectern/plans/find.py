@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.porter import plain_terms
 from ..operators import relational as R
 from ..operators import search as X
-from .corpus import ctes, read
+from .corpus import ctes, read, wide
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
 
 
 def _bodies(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("citation_id"), "text")
+    return wide(read(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("citation_id"), "text")
 
 
 def _sql(name: str, source: str, phrases: list[list[str]], every: bool = True) -> str:
@@ -36,13 +36,13 @@ _META = "meta as (select id as key, " + " || ['']::varchar[] || ".join(_TERMS.fo
 @query(f"with {_BODY}, {_sql('hit', 'body', [['erin'], ['of', 'the']])} select key as id, round(rank, 6) as rank from hit")
 def find_phrases(spark, d):
     docs = _bodies(spark, d)
-    p, n = X.build_index(docs, "chunk_id", ["text"], False)
+    p, n = X.build_index(docs, "chunk_id", ["text"], False, [["erin"], ["of", "the"]])
     return X.bm25(p, n, "chunk_id", [["erin"], ["of", "the"]]).select(F.col("chunk_id").alias("id"), F.round("rank", 6).alias("rank"))
 
 
 @query(f"with {_BODY}, {_sql('hit', 'body', [['erin'], ['zu'], ['onth']], False)} select key as id, round(rank, 6) as rank from hit")
 def find_any_word(spark, d):
-    p, n = X.build_index(_bodies(spark, d), "chunk_id", ["text"], False)
+    p, n = X.build_index(_bodies(spark, d), "chunk_id", ["text"], False, [["erin"], ["zu"], ["onth"]])
     return X.bm25(p, n, "chunk_id", [["erin"], ["zu"], ["onth"]], False).select(F.col("chunk_id").alias("id"), F.round("rank", 6).alias("rank"))
 
 
@@ -56,8 +56,9 @@ select key as id, round(rank, 5) as rank from both_"""
 )
 def find_ranked_all(spark, d):
     c, b = read(spark, d, "citations"), _bodies(spark, d)
-    meta_p, meta_l = X.build_index(c, "id", list(R.SEARCHED), False)
-    body_p, body_l = X.build_index(b, "chunk_id", ["text"], False)
+    phrases = [["the"], ["and"]]
+    meta_p, meta_l = X.build_index(c, "id", list(R.SEARCHED), False, phrases)
+    body_p, body_l = X.build_index(b, "chunk_id", ["text"], False, phrases)
     # The oracle's separators count as four terms of a row.
     meta_l = meta_l.withColumn("n_terms", F.col("n_terms") + 4)
     phrases = X.parse_query('the "and"', False)
@@ -76,7 +77,7 @@ def find_ranked(spark, d):
 
 @query(f"select doc_id as id, {_TERMS.format('text')} as terms from documents")
 def index_terms(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), plain_terms("text").alias("terms"))
+    return wide(read(spark, d, "documents")).select(F.col("doc_id").alias("id"), plain_terms("text").alias("terms"))
 
 
 @query(f"with {_BODY}, t as (select key, unnest(w) as term, generate_subscripts(w, 1) - 1 as pos from body) select term, count(distinct key) as holders, count(*) as n from t group by term")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import identity as I
-from .corpus import ctes, read
+from .corpus import ctes, read, wide
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -119,4 +119,4 @@ n as (select entry_id, count(*) as n from s group by 1)
 select e.entry_id, case when doi = '' then 'skipped' when n = 1 then 'matched' when n > 1 then 'ambiguous' when exists (select 1 from f where f.name = e.bibtex_key || '.pdf') then 'mismatch' else 'missing' end as status from e left join n using (entry_id)"""
 )
 def local_check(spark, d):
-    return I.local_check(read(spark, d, "benchmark").selectExpr(*_ENTRIES), read(spark, d, "documents").selectExpr(*_FILES))
+    return I.local_check(read(spark, d, "benchmark").selectExpr(*_ENTRIES), wide(read(spark, d, "documents")).selectExpr(*_FILES))

@@ -12,7 +12,7 @@ from ..operators import passes as P
 from ..operators import quality as Q
 from ..operators import repair as R
 from ..operators import vectors as V
-from .corpus import read
+from .corpus import read, wide
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -23,7 +23,7 @@ _TABLES = "replace(text, chr(10), chr(10) || chr(10) || '| a | b |' || chr(10) |
 
 
 def _docs(spark, d, markdown: str = "text", layout: str = "cast(null as string)"):
-    return read(spark, d, "documents").selectExpr("doc_id", f"{markdown} as markdown", f"{layout} as layout")
+    return wide(read(spark, d, "documents")).selectExpr("doc_id", f"{markdown} as markdown", f"{layout} as layout")
 
 
 @query(
@@ -31,7 +31,7 @@ def _docs(spark, d, markdown: str = "text", layout: str = "cast(null as string)"
 select doc_id, round(greatest(0.0, least(1.0, 1 - 0.15 * len(list_filter(ls, lambda x: length(x) > 250 and len(regexp_extract_all(x, '\\d+(?:\\.\\d+)?')) >= 12 and not regexp_matches(x, '^\\s*\\|'))) - 0.05 * len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')) - 0.05)), 3) as score from l"""
 )
 def artifact_scores(spark, d):
-    rows = read(spark, d, "documents")
+    rows = wide(read(spark, d, "documents"))
     return rows.select("doc_id", F.round(Q.artifact_score(Q.lines_of(F.col("text")), F.col("text")), 3).alias("score"))
 
 
@@ -51,7 +51,7 @@ select doc_id, round(greatest(0.0, least(1.0, 1 - p)), 2) as score from p"""
 )
 def readability_scores(spark, d):
     lines = Q.lines_of(F.col("text"))
-    return read(spark, d, "documents").select("doc_id", F.round(Q.readability(lines, Q.reference_lines(lines)), 2).alias("score"))
+    return wide(read(spark, d, "documents")).select("doc_id", F.round(Q.readability(lines, Q.reference_lines(lines)), 2).alias("score"))
 
 
 @query(
@@ -65,7 +65,7 @@ def markdown_tables(spark, d):
 
 @query("select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?')) as n_words from documents")
 def word_counts(spark, d):
-    return read(spark, d, "documents").select("doc_id", Q.word_count(F.col("text")).cast("long").alias("n_words"))
+    return wide(read(spark, d, "documents")).select("doc_id", Q.word_count(F.col("text")).cast("long").alias("n_words"))
 
 
 class Word:
@@ -95,7 +95,7 @@ def _both(template: str, which: str) -> str:
 
 
 def _made(spark, d, markdown: str = "text", layout: str = "cast(null as string)"):
-    rows = read(spark, d, "documents").withColumn("w", F.expr("regexp_extract_all(text, '[A-Za-z]{3,9}', 0)"))
+    rows = wide(read(spark, d, "documents")).withColumn("w", F.expr("regexp_extract_all(text, '[A-Za-z]{3,9}', 0)"))
     return rows.selectExpr("doc_id", f"{_both(markdown, 'spark')} as markdown", f"{_both(layout, 'spark')} as layout")
 
 
@@ -130,7 +130,7 @@ b as (select doc_id, raw, list_transform(ls, lambda ws: {'n': len(ws), 'b': len(
 select doc_id, array_to_string(list_filter(raw, lambda x, i: not (k[i].n >= 3 and k[i].b >= 3 and k[i].b * 2 >= k[i].n)), chr(10)) as markdown from b"""
 )
 def garble_removed(spark, d):
-    return read(spark, d, "documents").select("doc_id", R.glyph_garble(F.col("text")).alias("markdown"))
+    return wide(read(spark, d, "documents")).select("doc_id", R.glyph_garble(F.col("text")).alias("markdown"))
 
 
 _PAGE = "'1. Topic ' || {w1-T} || ' ' || {w2-T} || {nl} || {body} || {nl} || '2.1 Topic ' || {w3-T} || ' and ' || {w4-T} || '    B. ' || {w5-T} || ' Part' || {nl} || 'Table 2: Numbers' || {nl} || {nl} || '  name     value' || {nl} || '  ' || {w6-l} || '   ' || {n} || {nl} || '  ' || {w7-l} || '   7' || {nl} || chr(12) || {body} || {nl} || '   y = a + ' || {n} || '       (4)' || {nl} || 'REFERENCES' || {nl} || '3. ' || {w8-T} || ' Last'"
@@ -275,7 +275,7 @@ def readability_issues(spark, d):
 @query()
 def documents_repaired(spark, d):
     """All passes over the documents."""
-    return read(spark, d, "documents").select("doc_id", R.all_passes(F.col("text")).alias("markdown"))
+    return wide(read(spark, d, "documents")).select("doc_id", R.all_passes(F.col("text")).alias("markdown"))
 
 
 _LAYOUT = "'Journal of ' || {w1-T} || ' ' || {m} || {nl} || {body} || chr(12) || '12 Journal of ' || {w1-T} || ' ' || {m} || {nl} || 'b' || chr(12) || 'Journal of  ' || {w1-T} || ' 14'"
@@ -294,7 +294,7 @@ def headers_removed(spark, d):
 
 @query("select doc_id, regexp_replace(replace(text, '. ', chr(10) || chr(10) || ' ' || chr(10) || 'X'), '\\n[ \\t]*\\n([ \\t]*\\n)+', chr(10) || chr(10), 'g') as markdown from documents")
 def blank_lines_compacted(spark, d):
-    return read(spark, d, "documents").select("doc_id", R.blank_runs(F.expr("replace(text, '. ', chr(10) || chr(10) || ' ' || chr(10) || 'X')")).alias("markdown"))
+    return wide(read(spark, d, "documents")).select("doc_id", R.blank_runs(F.expr("replace(text, '. ', chr(10) || chr(10) || ' ' || chr(10) || 'X')")).alias("markdown"))
 
 
 @query("with q as (select embedding as q from embeddings where vec_id = 0) select vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) as similarity from embeddings, q")

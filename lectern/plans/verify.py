@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import verify as V
-from .corpus import read
+from .corpus import read, wide
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -16,7 +16,7 @@ def _quotes(spark, d):
 
 
 def _docs(spark, d):
-    return read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 28).alias("created_at"), "text")
+    return wide(read(spark, d, "documents")).select("doc_id", (F.col("doc_id") % 28).alias("created_at"), "text")
 
 
 _STEPS = [("\\x{00AD}", ""), ("-[ \\t]*\\n\\s*", ""), ("[\\x{2018}\\x{2019}\\x{201A}\\x{2032}]", "''"), ("[\\x{201C}\\x{201D}\\x{201E}\\x{2033}]", '"'), ("[\\x{2013}\\x{2014}\\x{2212}]", "-"), ("\\s+", " ")]
@@ -58,7 +58,7 @@ def quotes_close(spark, d):
     wrong = _quotes(spark, d).withColumn("quote", F.array_join(F.concat(F.slice(words, 1, 4), F.array(F.lit("misquotedword")), F.slice(words, F.lit(6), F.size(words))), " "))
     from ..operators.chunker import chunked
 
-    chunks = chunked(read(spark, d, "documents"), "doc_id").withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("ordinal"))
+    chunks = chunked(wide(read(spark, d, "documents")), "doc_id").withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("ordinal"))
     return V.close_matches(wrong, chunks)
 
 
@@ -67,7 +67,7 @@ def quotes_verdicts_full(spark, d):
     """Verdicts with compatibility composition, stemming and close matches."""
     from ..operators.chunker import chunked
 
-    chunks = chunked(read(spark, d, "documents"), "doc_id").withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("ordinal"))
+    chunks = chunked(wide(read(spark, d, "documents")), "doc_id").withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("ordinal"))
     return V.verdicts(_quotes(spark, d), _docs(spark, d), chunks)
 
 
@@ -75,7 +75,7 @@ def quotes_verdicts_full(spark, d):
 def texts_normalized(spark, d):
     from ..functions.text import normalized
 
-    return read(spark, d, "documents").select("doc_id", normalized(F.col("text"), False).alias("norm"))
+    return wide(read(spark, d, "documents")).select("doc_id", normalized(F.col("text"), False).alias("norm"))
 
 
 @query(
@@ -87,7 +87,7 @@ select doc_id, item_id, floor(len(list_intersect(q.t, w.t)) / len(q.t) * 100 + 0
 def token_overlap(spark, d):
     from ..functions.text import quote_tokens, rounded, trimmed
 
-    w = read(spark, d, "documents").select("doc_id", quote_tokens(trimmed(F.lower("text"))).alias("t")).withColumn("k", F.get("t", F.lit(0)))
+    w = wide(read(spark, d, "documents")).select("doc_id", quote_tokens(trimmed(F.lower("text"))).alias("t")).withColumn("k", F.get("t", F.lit(0)))
     q = read(spark, d, "benchmark").select("item_id", quote_tokens(trimmed(F.lower("text"))).alias("q")).withColumn("k", F.get("q", F.lit(0)))
     return w.join(q, "k").select("doc_id", "item_id", rounded(F.size(F.array_intersect("q", "t")) / F.size("q"), 2).alias("similarity"))
 
@@ -111,7 +111,7 @@ def quotes_checked(spark, d):
 
     nth = F.row_number().over(W.orderBy("item_id"))
     quotes = read(spark, d, "benchmark").withColumn("doc_n", nth).select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), F.expr(_ASKED.replace("varchar", "string")).alias("doi"))
-    docs = read(spark, d, "documents")
+    docs = wide(read(spark, d, "documents"))
     citations = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("doi/"), F.col("doc_id").cast("string")).alias("doi"), (F.col("doc_id") % 28).alias("created_at"))
     texts = docs.where("doc_id % 5 > 0").select(F.col("doc_id").alias("citation_id"), "text")
     chunks = chunked(texts, "citation_id").withColumn("chunk_id", F.col("citation_id") * 1_000_000 + F.col("ordinal"))

@@ -22,7 +22,10 @@ ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that come in fewer partitions than there are cores (one small file) are dealt to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n) if name in ("documents", "pages") and df.rdd.getNumPartitions() < n else df
 
 
 def session(df: DataFrame) -> SparkSession:

@@ -128,6 +128,20 @@ def latin(text: str) -> bool:
     return text.isalpha() and max(text) < "\u0250"
 
 
+class Words(dict):
+    """Packed ids by word; a word that is not there is taken from the older generation, or encoded."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.encoder.old.get(word)
+        if got is None:
+            got = self.encoder.encoded(word)
+        self[word] = got
+        return got
+
+
 class Encoder:
     """Ids of texts. ASCII white space parts words for this kind of tokenizer, so ids are remembered by word.
 
@@ -146,7 +160,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.most = remembered // 2
-        self.new: dict[bytes, bytes] = {}
+        self.new = Words(self)
         self.old: dict[bytes, bytes] = {}
         self.splits = self._splits()
 
@@ -181,44 +195,21 @@ class Encoder:
         letters = m[1].decode().lower()
         return (letters.encode(), m[2]) if latin(letters) else (word, b"")
 
-    def encode(self, unseen: set[bytes]) -> None:
-        """Remembers the ids of some parts of words."""
-        rest = []
-        for x in unseen:
-            if self.splits and (x.isalpha() or not x.isascii() and latin(own := x.decode()) and own == own.lower()):
-                self.new[x] = self.pack(self.model(x))
-            else:
-                rest.append(x)
-        for k in range(0, len(rest), 2000):
-            some = rest[k : k + 2000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.new[x] = self.pack(e.ids)
+    def encoded(self, word: bytes) -> bytes:
+        """Packed ids of a word, or of its parts."""
+        a, b = self.parts(word)
+        if b or a != word:
+            return self.new[a] + self.new[b] if b else self.new[a]
+        if self.splits and (word.isalpha() or not word.isascii() and latin(own := word.decode()) and own == own.lower()):
+            return self.pack(self.model(word))
+        return self.pack(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
         if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        old, new = self.old, self.new
-        whole: dict[bytes, tuple[bytes, bytes]] = {}
-        unseen: set[bytes] = set()
-        for word in set().union(*split).difference(new):
-            if (got := old.get(word)) is not None:
-                new[word] = got
-                continue
-            a, b = self.parts(word)
-            if b or a != word:
-                whole[word] = a, b
-                if b and b not in new:
-                    unseen.add(b)
-                if a in new:
-                    continue
-            unseen.add(a)
-        self.encode(unseen)
-        for word, (a, b) in whole.items():
-            new[word] = new[a] + new[b] if b else new[a]
+            self.old, self.new = self.new, Words(self)
         end = END.to_bytes(self.width, "little")
-        get = new.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        get = self.new.__getitem__
+        return [b"".join(map(get, t.split())) + end for t in texts]
 
 
 def default_vocabulary() -> str:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import find, identify, library, quality, read, retrieve, verify
+from .plans import extras, find, identify, library, quality, read, retrieve, verify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plan in (find, verify, read, library, identify, retrieve, quality):
+for _plan in (find, verify, read, library, identify, retrieve, quality, extras):
     QUERIES |= _plan.QUERIES
     ORACLE_SQL |= _plan.ORACLE_SQL

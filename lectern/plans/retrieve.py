@@ -123,7 +123,7 @@ _FOUND = "p_partkey as doi, p_size % 7 as pos, p_name as expected"
 
 
 @query(
-    f"""with p as (select {_FOUND}, p_size, p_brand from part) select doi, case when p_size % 3 = 0 then 'strict' else 'broad' end as step, cast(pos as bigint) as pos, expected as actual, 1.0 as similarity from p
+    f"""with p as (select {_FOUND}, p_size, p_brand from part) select doi, case when p_size % 3 = 0 then 'strict' else 'broad' end as step, cast(pos as bigint) as pos, expected as actual, cast(1.0 as double) as similarity from p
 where pos < 5 and p_size % 4 > 0"""
 )
 def arxiv_matches(spark, d):

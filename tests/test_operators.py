@@ -123,3 +123,40 @@ def test_snapshots_follow_a_stream(spark, tmp_path):
         assert s.version() == k + 1
     assert sorted(map(tuple, s.read("chunks").collect())) == [(1, 0, "new"), (2, 0, "c")]
     assert s.read("chunks", 1).count() == 3
+
+
+def test_bootstrap_holds_the_accuracy(spark):
+    from lectern.operators import extras
+
+    rows = spark.createDataFrame([(k, "a", k % 4 > 0) for k in range(400)], "claim_id long, system string, right boolean")
+    a, b = (extras.bootstrap(rows.repartition(n)).first() for n in (1, 4))
+    assert a == b and a.low < 0.75 < a.high and 0.03 < a.high - a.low < 0.15
+
+
+def test_texts_are_written_and_read(spark, tmp_path):
+    from lectern.operators import files
+
+    root = f"file://{tmp_path}/md"
+    files.write_texts(spark.createDataFrame([("a", "# A\n\ntext"), ("b", "x"), ("c", None)], "name string, text string"), root)
+    files.write_texts(spark.createDataFrame([("b", "new\nlines\n")], "name string, text string"), root)
+    assert {tuple(r) for r in files.read_texts(spark, root).collect()} == {("a", "# A\n\ntext"), ("b", "new\nlines\n"), ("c", "")}
+
+
+def test_migrations_run_once(spark, tmp_path):
+    s, ran = store.Snapshots(spark, f"file://{tmp_path}/m"), []
+    steps = {1: lambda _: ran.append(1), 2: lambda x: ran.append(2)}
+    assert s.migrated({1: steps[1]}) == 1 and s.migrated(steps) == 2 and s.migrated(steps) == 2
+    assert ran == [1, 2]
+
+
+def test_healed_manifestations(spark):
+    from lectern.operators import files
+
+    old = spark.createDataFrame([(1, 5, "pdf", "/p/pdf/k.pdf", None, "t0")], "id long, citation_id long, kind string, path string, content_hash string, last_seen_at string")
+    cited = spark.createDataFrame([(5, "10.1/x", "k", "/p/pdf/k.pdf")], "id long, doi string, bibtex_key string, pdf_path string")
+    texts = spark.createDataFrame([("/p/markdown/k.md", "# T")], "path string, text string")
+    found = files.markdown_paths(cited, old, texts)
+    assert [tuple(r) for r in found.collect()] == [(5, "/p/markdown/k.md", True)]
+    new = files.healed(old, found, texts, "t1")
+    assert {(r.id, r.kind, r.path) for r in new.collect()} == {(1, "pdf", "/p/pdf/k.pdf"), (2, "markdown-extracted", "/p/markdown/k.md")}
+    assert [r.healed for r in files.markdown_paths(cited, new, texts).collect()] == [False]

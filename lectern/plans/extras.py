@@ -36,7 +36,7 @@ def citation_counts(spark, d):
 
 
 @query(
-    f"""with {ctes('citations')}, {_EDGES}, s as (select a.citing as id, b.citing as other, count(*) as shared from edges a join edges b on a.cited = b.cited and a.citing <> b.citing where a.citing % 20 = 0 group by all)
+    f"""with {ctes('citations')}, {_EDGES}, s as (select a.citing as id, b.citing as other, count(*) as shared from edges a join edges b on a.cited = b.cited and a.citing <> b.citing where a.citing % 20 = 0 and a.citing in (select id from citations) group by all)
 select *, row_number() over (partition by id order by shared desc, other) as place from s qualify place <= 5"""
 )
 def citations_related(spark, d):

@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import byte_lists, pieces, session, text_bytes, written
 
 END = 1
-#: Ids in a shard (a longer document is a shard of its own), and words whose ids a worker remembers.
+#: Ids in a shard (a longer document is a shard of its own), and words whose ids a worker remembers (some 150 bytes each).
 SHARD_IDS = 1 << 20
-REMEMBERED = 1_400_000
+REMEMBERED = 700_000
 #: Letters (checked further if not ASCII), and ASCII punctuation without the apostrophe.
 ENDING = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -136,16 +136,44 @@ def two_step(strict: DataFrame, broad: DataFrame) -> DataFrame:
     return best_title(answers, "doi").select("doi", "step", "pos", "actual", "similarity")
 
 
+#: Requests of a part, and parts, at most.
+PART, MOST_PARTS = 50_000, 256
+
+
+def _part_of(seq: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are at most seq; 0 for null. A tree of comparisons."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(seq < F.lit(cuts[mid]), among(low, mid)).otherwise(among(mid + 1, high))
+
+    return F.when(seq.isNull(), 0).otherwise(among(0, len(cuts)))
+
+
 def tickets(requests: DataFrame, interval_ms: int) -> DataFrame:
     """requests(source, seq, ts_ms) with `start_ms`: a serial limiter lets one request of a source start an interval.
 
     The n-th starts no sooner than an interval after the one before: the running maximum of ts - n * interval, plus
-    n * interval.
+    n * interval. Requests (of a numeric seq) are cut into parts by seq, so that no task holds a source: each part counts
+    and takes its maximum by itself, and starts from the sum and the maximum of the source's parts before it.
     """
-    w = W.partitionBy("source").orderBy("seq")
-    rows = requests.withColumn("n", F.row_number().over(w) - 1)
-    head = F.max(F.col("ts_ms") - F.col("n") * interval_ms).over(w)
-    return rows.withColumn("start_ms", head + F.col("n") * interval_ms).drop("n")
+    parts = min(MOST_PARTS, requests.count() // PART + 1)
+    ranks = [k / parts for k in range(1, parts)]
+    cuts = requests.agg(F.percentile_approx("seq", ranks, 10_000).alias("c")).first()["c"] if ranks else []
+    rows = requests.withColumn("_part", _part_of(F.col("seq"), sorted(set(cuts or []))))
+    own = W.partitionBy("source", "_part").orderBy("seq")
+    rows = rows.withColumn("_n", F.row_number().over(own).cast("long") - 1)
+    rows = rows.withColumn("_head", F.max(F.col("ts_ms") - F.col("_n") * interval_ms).over(own))
+    before = W.partitionBy("source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    held = rows.groupBy("source", "_part").agg(F.count(F.lit(1)).alias("_held"), F.max("_head").alias("_most"))
+    held = held.withColumn("_base", F.coalesce(F.sum("_held").over(before), F.lit(0)))
+    held = held.withColumn("_above", F.max(F.col("_most") - F.col("_base") * interval_ms).over(before))
+    held = held.select(F.col("source").alias("_source"), F.col("_part").alias("_of"), "_base", "_above")
+    out = rows.join(held, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_of")))
+    start = F.greatest(F.col("_head") - F.col("_base") * interval_ms, F.col("_above")) + (F.col("_base") + F.col("_n")) * interval_ms
+    return out.withColumn("start_ms", start).select(*requests.columns, "start_ms")
 
 
 def progress(events: DataFrame) -> DataFrame:

@@ -160,3 +160,23 @@ def test_healed_manifestations(spark):
     new = files.healed(old, found, texts, "t1")
     assert {(r.id, r.kind, r.path) for r in new.collect()} == {(1, "pdf", "/p/pdf/k.pdf"), (2, "markdown-extracted", "/p/markdown/k.md")}
     assert [r.healed for r in files.markdown_paths(cited, new, texts).collect()] == [False]
+
+
+def test_tickets_in_parts(spark, monkeypatch):
+    """A source's requests, cut into parts, against a limiter that serves them one by one; and far over an int's range."""
+    import random
+
+    from lectern.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PART", 40)
+    draw = random.Random(3)
+    rows = [(draw.choice("aab") if k % 50 else None, k if k else None, k * 900 + draw.randrange(40) * 1000) for k in range(500)]
+    got = {r.seq: r.start_ms for r in retrieval.tickets(spark.createDataFrame(rows, "source string, seq long, ts_ms long"), 3000).collect()}
+    free, want = {}, {}
+    for source, seq, ts in sorted(rows, key=lambda r: -1 if r[1] is None else r[1]):
+        want[seq] = max(ts, free.get(source, ts))
+        free[source] = want[seq] + 3000
+    assert got == want
+    many = spark.range(3).selectExpr("'s' as source", "id as seq", "0L as ts_ms")
+    assert [r.start_ms for r in retrieval.tickets(many, 2_000_000_000).orderBy("seq").collect()] == [0, 2_000_000_000, 4_000_000_000]
+    assert retrieval.tickets(many.limit(0), 3000).count() == 0

@@ -180,3 +180,38 @@ def test_tickets_in_parts(spark, monkeypatch):
     many = spark.range(3).selectExpr("'s' as source", "id as seq", "0L as ts_ms")
     assert [r.start_ms for r in retrieval.tickets(many, 2_000_000_000).orderBy("seq").collect()] == [0, 2_000_000_000, 4_000_000_000]
     assert retrieval.tickets(many.limit(0), 3000).count() == 0
+
+
+def test_titles_of_groups_as_over_pairs(spark):
+    """Best and all similar titles of groups, against all pairs; repeated titles, keys, nulls and empty titles."""
+    import random
+
+    from lectern.operators import identity
+
+    draw = random.Random(5)
+    words = ["red ring", "red rings", "{Red} ring", "blue bolt", "blue bolts", "bolt blue", "", "ü", None]
+    rows = [(draw.randrange(60) if k % 25 else None, draw.choice(words), draw.choice(["a", "b", None]), draw.randrange(2)) for k in range(160)]
+    t = spark.createDataFrame(rows, "key long, title string, brand string, size int")
+    by = ["brand", "size"]
+    pairs = t.withColumnRenamed("title", "expected").join(t.select(*by, F.col("key").alias("pos"), F.col("title").alias("actual")), by)
+    bag = lambda df: sorted(map(tuple, df.select("key", "pos", F.round("similarity", 9)).collect()), key=repr)
+    want = pairs.withColumn("similarity", T.title_similarity(F.col("expected"), F.col("actual")))
+    assert bag(identity.similar_titles(t, t.withColumnRenamed("key", "pos"), by)) == bag(want)
+    for least in (0.5, 0.9):
+        assert bag(identity.best_in_group(t, by, least)) == bag(identity.best_title(pairs.where("key <> pos"), "key", least))
+
+
+def test_titles_are_compared_once(spark):
+    """4,000 rows of one group with three titles: some pairs of titles, not 16 million of rows."""
+    from lectern.operators import identity
+
+    t = spark.range(4000).selectExpr("id as key", "concat('a title ', id % 3) as title", "0 as g")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        calls.add(1)
+        return x
+
+    got = identity.best_in_group(t.withColumn("title", seen("title")), ["g"], 0.5)
+    assert got.where("similarity = 1").count() == 4000 and calls.value <= 40_000

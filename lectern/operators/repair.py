@@ -5,11 +5,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import sliced
 from ..functions.text import let
 from . import layout as layouts
 from . import passes
@@ -84,9 +84,9 @@ def without_headers(documents: DataFrame, headers: DataFrame, key: str = "doc_id
         cut = [re.sub(r"[ \t]{2,}", " ", numbered.sub(" ", x)).strip() if free and not re.match(r"\s*(#{1,6}\s|\|)", x) and numbered.search(x) else None for x, free in zip(lines, _open(lines))]
         return "\n".join(x if new is None else new for x, new in zip(lines, cut) if new != "")
 
-    @F.pandas_udf(T.StringType())
-    def apply(text: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if h is None or not len(h) or t is None else strip(t, list(h)) for t, h in zip(text, found)])
+    @sliced(T.StringType())
+    def apply(text: str | None, found: list[str] | None) -> str | None:
+        return strip(text, found) if text is not None and found else text
 
     return documents.join(own, key, "left").withColumn("markdown", apply("markdown", "_h")).drop("_h")
 
@@ -232,11 +232,7 @@ def references_listed(text: str) -> str:
 
 
 def _pass(f):
-    @F.pandas_udf(T.StringType())
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None else f(t))
-
-    return apply
+    return sliced(T.StringType())(lambda t: t if t is None else f(t))
 
 
 #: The block passes by name, in the order in which they run on the Markdown alone.
@@ -288,8 +284,8 @@ def whole_repair(markdown: Column, layout: Column, pdf: Column) -> Column:
         t = tables_once(math_flush(passes.math_unnested(t)))
         return layouts.equations_set(t, x) if x else t
 
-    @F.pandas_udf(T.StringType())
-    def first(m: pd.Series, x: pd.Series, name: pd.Series) -> pd.Series:
-        return pd.Series([blocks(*r) if r[0] is not None else None for r in zip(m, x, name)], dtype=object)
+    @sliced(T.StringType())
+    def first(m: str | None, x: str | None, name: str | None) -> str | None:
+        return None if m is None else blocks(m, x, name)
 
     return blank_runs(layouts.with_layout_columns(again, glyph_garble(first(artifacts(markdown), layout, pdf)), layout))

@@ -88,6 +88,6 @@ def index_postings(spark, d):
 
 @query(f"with {_BODY}, {_sql('hit', 'body', [['erin']])} select key as id, place from (select key, row_number() over (partition by key % 50 order by rank, key) as place from hit) where place <= 3")
 def best_passages(spark, d):
-    p, n = X.build_index(_bodies(spark, d), "chunk_id", ["text"], False)
+    p, n = X.build_index(_bodies(spark, d), "chunk_id", ["text"], False, [["erin"]])
     hits = X.bm25(p, n, "chunk_id", [["erin"]]).withColumn("citation_id", F.col("chunk_id") % 50)
     return R.best_passages(hits).select(F.col("chunk_id").alias("id"), F.col("nth").cast("long").alias("place"))

@@ -215,3 +215,24 @@ def test_titles_are_compared_once(spark):
 
     got = identity.best_in_group(t.withColumn("title", seen("title")), ["g"], 0.5)
     assert got.where("similarity = 1").count() == 4000 and calls.value <= 40_000
+
+
+def test_python_columns_hold_a_slice():
+    """A batch of 6.4 MB with 1.3 million words: Python holds those of a slice at a time, and makes the same of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lectern.functions import batches, porter
+
+    words = " ".join(f"w{k}" for k in range(1000, 1320))
+    texts = pa.array([words, None, "", *[words] * 4000])
+    tracemalloc.start()
+    made = porter.plain_terms.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == len(texts) and made[0].as_py() == made[-1].as_py() == words.split() and made[1].as_py() == made[2].as_py() == []
+    assert peak < 40e6
+    assert [n for _, n in batches.cuts((pa.array(["x" * 3_000_000, "y", None]),))] == [1, 2] and batches.cuts((texts.slice(0, 0),)) == []
+    found = porter.found_terms(["w1001", "w1003"], False).func(texts)
+    assert found[0].as_py() == {"n": 320, "found": [{"pos": 1, "term": "w1001"}, {"pos": 3, "term": "w1003"}]} and found[1].as_py() == {"n": 0, "found": []}

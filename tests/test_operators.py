@@ -236,3 +236,34 @@ def test_python_columns_hold_a_slice():
     assert [n for _, n in batches.cuts((pa.array(["x" * 3_000_000, "y", None]),))] == [1, 2] and batches.cuts((texts.slice(0, 0),)) == []
     found = porter.found_terms(["w1001", "w1003"], False).func(texts)
     assert found[0].as_py() == {"n": 320, "found": [{"pos": 1, "term": "w1001"}, {"pos": 3, "term": "w1003"}]} and found[1].as_py() == {"n": 0, "found": []}
+
+
+def test_words_and_typography_character_by_character():
+    """Every character, and texts of odd ones, as the plain definitions have them."""
+    import random
+    import re
+    import unicodedata
+
+    from lectern.functions import porter
+
+    def unmarked(text):
+        out = []
+        for c in text.lower():
+            d = unicodedata.normalize("NFD", c)
+            out.append(d[0] if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:]) else c)
+        return "".join(c for c in out if not unicodedata.combining(c))
+
+    def typography(text):
+        space = "[\t-\r \x85\xa0  -     　]"
+        for old, new in (("­", ""), (f"-[ \t]*\n{space}*", ""), ("[‘’‚′]", "'"), ("[“”„″]", '"'), ("[–—−]", "-"), (f"{space}+", " ")):
+            text = re.sub(old, new, text)
+        return text.strip(" ")
+
+    draw = random.Random(2)
+    odd = "ab_1 \t\n\x1c\x85\xa0​　-–−­’″éßΣ中²½́\U0001f600"
+    texts = ["".join(draw.choice(odd) for _ in range(draw.randrange(40))) for _ in range(3000)] + ["".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))]
+    for text in texts:
+        assert porter.plain(text) == unmarked(text) and porter.words_of(text) == porter.WORD.findall(text)
+        assert T.plain_typography(text, False) == typography(text) and T.plain_typography(text) == typography(unicodedata.normalize("NFKC", text))
+    long = "café " + "the word à la carte, " * 20_000
+    assert porter.NON_ASCII.subn("", long)[1] < len(long) / 10  # only these are looked up one by one

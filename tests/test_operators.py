@@ -267,3 +267,20 @@ def test_words_and_typography_character_by_character():
         assert T.plain_typography(text, False) == typography(text) and T.plain_typography(text) == typography(unicodedata.normalize("NFKC", text))
     long = "café " + "the word à la carte, " * 20_000
     assert porter.NON_ASCII.subn("", long)[1] < len(long) / 10  # only these are looked up one by one
+
+
+def test_titles_and_bodies_as_gap_replacements(spark):
+    """Titles, and the quality queries' bodies and words, are what replacing every gap gave."""
+    import random
+
+    from lectern.plans.quality import _BODY, _FIRST_WORDS
+
+    draw = random.Random(1)
+    rows = [("".join(draw.choice("ab1 \n\n.{}\\-éABCÉ\tß") for _ in range(draw.randrange(80))),) for _ in range(3000)] + [(None,), ("",)]
+    d = spark.createDataFrame(rows, "text string")
+    title = F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[{}\\]", "")), "[^a-z0-9]+", " "))
+    body = F.expr("lower(trim(regexp_replace(regexp_replace(text, '[^A-Za-z\\\\n]+', ' '), ' *\\\\n[ \\\\n]*', chr(10))))")
+    words = F.expr("slice(regexp_extract_all(text, '[A-Za-z]{3,9}', 0), 1, 8)")
+    first = F.expr(f"regexp_extract_all(regexp_extract(text, '{_FIRST_WORDS}', 0), '[A-Za-z]{{3,9}}', 0)")
+    for want, got in ((title, T.title(F.col("text"))), (body, F.expr(_BODY["spark"])), (words, first)):
+        assert d.where(~want.eqNullSafe(got)).count() == 0
